@@ -16,13 +16,14 @@ import os
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_words
+
 TOKENIZERS = os.environ.get("ATTESTIA_TOKENIZERS", "/opt/tokenizers")
 #: White space as the tokenizer's regular expressions define it; Java's own \s is ASCII.
 _SPACE = r"\t-\r\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: The public pre-tokenizer pattern of the vocabulary (fixed value).
 WORDS = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 _BUCKETS = 16384
-_SALTS = 8
 
 
 def _byte_letters() -> dict[str, int]:
@@ -133,15 +134,9 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: Vocabulary) ->
     of a word travel with the pair, and one aggregation by key puts the text together.
     """
     src = df.select(F.col(key).alias("_key"), words(F.col(text)).alias("_words"))
-    # One row per text and distinct word, with the word's places.
-    pairs = src.select("_key", F.posexplode("_words").alias("_at", "_word")).groupBy("_key", "_word").agg(F.collect_list("_at").alias("_places"))
-    pairs = pairs.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(_SALTS)).cast("int"))
     known = word_ids(src.select(F.explode("_words").alias("_word")).distinct(), vocabulary, "_word", "_ids")
-    known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    met = pairs.join(known, ["_word", "_salt"]).select("_key", F.transform("_places", lambda p: F.struct(p.alias("at"), F.col("_ids").alias("ids"))).alias("_some"))
-    whole = met.groupBy("_key").agg(F.flatten(F.transform(F.array_sort(F.flatten(F.collect_list("_some"))), lambda s: s["ids"])).alias("ids"))
-    none = src.filter(F.size("_words") == 0).select("_key", F.array().cast("array<int>").alias("ids"))
-    return whole.unionByName(none).withColumnRenamed("_key", key)
+    lists = map_words(src, "_key", "_words", known, "_word", "_ids", "_lists")
+    return lists.select(F.col("_key").alias(key), F.flatten("_lists").alias("ids"))
 
 
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
