@@ -16,7 +16,7 @@ import os
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_words
+from .shared import let, map_words
 
 TOKENIZERS = os.environ.get("ATTESTIA_TOKENIZERS", "/opt/tokenizers")
 #: White space as the tokenizer's regular expressions define it; Java's own \s is ASCII.
@@ -74,11 +74,6 @@ def _bytes(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.conv(F.substr(coded, i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with *value* computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _segments(codes: Column, joints: Column) -> Column:
     """Cut where no merge of the vocabulary can join the two bytes: folds over the parts give the same ids."""
     ends = F.filter(F.sequence(F.lit(1), F.size(codes)), lambda i: (i == F.size(codes)) | ~F.get(joints, F.get(codes, i - 1) * 256 + F.get(codes, i)))
@@ -87,7 +82,7 @@ def _segments(codes: Column, joints: Column) -> Column:
         starts = F.concat(F.array(F.lit(0)), F.slice(at, F.lit(1), F.size(at) - 1))
         return F.transform(F.arrays_zip(starts.alias("a"), at.alias("b")), lambda s: F.slice(codes, s["a"] + 1, s["b"] - s["a"]))
 
-    return _let(ends, cut)
+    return let(ends, cut)
 
 
 def _merge(ids: Column, ranks: Column) -> Column:
@@ -112,7 +107,7 @@ def _merge(ids: Column, ranks: Column) -> Column:
     def round_(s: Column, _: Column) -> Column:
         best = F.array_min(F.transform(F.sequence(F.lit(1), F.size(s["ids"]) - 1), lambda i: value(F.get(s["ids"], i - 1), F.get(s["ids"], i))))
         return F.when(s["over"] | (F.size(s["ids"]) < 2), s).otherwise(
-            _let(best, lambda b: F.when(b.isNull(), F.struct(s["ids"].alias("ids"), F.lit(True).alias("over"))).otherwise(F.struct(join_all(s["ids"], b).alias("ids"), F.lit(False).alias("over"))))
+            let(best, lambda b: F.when(b.isNull(), F.struct(s["ids"].alias("ids"), F.lit(True).alias("over"))).otherwise(F.struct(join_all(s["ids"], b).alias("ids"), F.lit(False).alias("over"))))
         )
 
     start = F.struct(ids.alias("ids"), F.lit(False).alias("over"))

@@ -16,8 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestia.session import written
+
 from .fold import make_fold
-from .shared import map_words, pairs_within, stripped
+from .shared import let, map_words, pairs_within, stripped
 
 TOKENS = r"[\p{L}\p{M}\p{N}\p{Cf}]+|[^\p{L}\p{M}\p{N}\p{Cf}]+"
 
@@ -81,16 +83,18 @@ def canonical_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     src = df.select(F.col(key).alias("_id"), stripped(F.col(text)).alias("_text"))
     plain = ~F.col("_text").rlike(r"[^\x00-\x7F]")
     whole = src.filter(F.col("_text").isNull() | plain).select("_id", F.col("_text").alias("canonical"))
-    odd = src.filter(~plain).withColumn("_tokens", F.regexp_extract_all("_text", F.lit(TOKENS), F.lit(0)))
-    # Only tokens beyond ASCII can change; the rest ride along in place.
-    strange = odd.select(F.explode(F.filter("_tokens", lambda t: t.rlike(r"[^\x00-\x7F]"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    known = spellings(strange)
-    mapped = map_words(odd.select("_id", F.filter("_tokens", lambda t: t.rlike(r"[^\x00-\x7F]")).alias("_odd")), "_id", "_odd", known, "token", "spelling", "_new")
-    # Place of each strange token among all tokens -> its spelling.
-    places = F.filter(F.transform("_tokens", lambda t, i: F.when(t.rlike(r"[^\x00-\x7F]"), i)), lambda i: i.isNotNull())
-    joined = odd.join(mapped, "_id").withColumn("_map", F.map_from_arrays(places, F.col("_new")))
-    text_again = F.array_join(F.transform("_tokens", lambda t, i: F.coalesce(F.try_element_at(F.col("_map"), i), t)), "")
-    return whole.unionByName(joined.select("_id", text_again.alias("canonical"))).withColumnRenamed("_id", key)
+    # Read three times below, so written once: the tokens, and places and spellings of those beyond ASCII (no other can change).
+    odd = src.filter(~plain).select("_id", F.regexp_extract_all("_text", F.lit(TOKENS), F.lit(0)).alias("_tokens"))
+    strange = F.filter(F.transform("_tokens", lambda t, i: F.when(t.rlike(r"[^\x00-\x7F]"), F.struct(i.alias("at"), t.alias("token")))), lambda x: x.isNotNull())
+    odd = written(odd.withColumn("_odd", strange), "tokens")
+    known = spellings(odd.select(F.explode("_odd.token").alias("token")).groupBy("token").agg(F.count("*").alias("n")))
+    mapped = map_words(odd.select("_id", F.col("_odd.token").alias("_odd")), "_id", "_odd", known, "token", "spelling", "_new")
+
+    def merged(new):
+        return F.array_join(F.transform("_tokens", lambda t, i: F.coalesce(F.try_element_at(new, i), t)), "")
+
+    joined = odd.join(mapped, "_id").select("_id", let(F.map_from_arrays("_odd.at", "_new"), merged).alias("canonical"))
+    return whole.unionByName(joined).withColumnRenamed("_id", key)
 
 
 def lookalike_pairs(records: DataFrame) -> DataFrame:
@@ -99,10 +103,10 @@ def lookalike_pairs(records: DataFrame) -> DataFrame:
     Repeated rows count once; a key with several different texts counts each of them. Null and
     blank texts have no partner.
     """
-    rows = records.select("record_kind", "record_key", stripped(F.col("text")).alias("text")).filter("text <> ''").distinct()
-    texts = rows.groupBy("text").agg(F.min("record_key").alias("_any")).select("text")
-    forms = canonical_texts(texts.withColumn("_t", F.col("text")), "_t", "text").filter(F.col("canonical").isNotNull())
-    # A text whose form is itself and no other text's is nobody's partner: keep forms that two texts share.
-    shared = forms.groupBy("canonical").agg(F.count("*").alias("_n"), F.collect_list("_t").alias("_ts")).filter("_n > 1").select(F.xxhash64("canonical").alias("form"), F.explode("_ts").alias("text"))
-    met = rows.join(shared, "text").select("record_kind", "form", "record_key", F.xxhash64("text").alias("raw"))
+    rows = written(records.select("record_kind", "record_key", stripped(F.col("text")).alias("text")).filter("text <> ''").distinct(), "records")
+    forms = canonical_texts(rows.select("text", F.col("text").alias("_t")).distinct(), "_t", "text").select(F.xxhash64("_t").alias("raw"), F.xxhash64("canonical").alias("form"))
+    keyed = rows.select("record_kind", "record_key", F.xxhash64("text").alias("raw"))
+    # A form that only one text has joins nothing.
+    shared = forms.groupBy("form").agg(F.collect_list("raw").alias("_raws"), F.count("*").alias("_n")).filter("_n > 1").select("form", F.explode("_raws").alias("raw"))
+    met = keyed.join(shared, "raw").select("record_kind", "form", "record_key", "raw")
     return pairs_within(met, ["record_kind", "form"], "record_key", "raw").select("record_kind", F.col("record_key_a").alias("key_a"), F.col("record_key_b").alias("key_b")).distinct()

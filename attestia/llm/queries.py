@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attestia.session import table
 
-from . import bpe, canon
+from . import bpe, canon, leak, nearpass, pieces
 
 
 def _records(spark: SparkSession, d: str, tasks: bool = True) -> DataFrame:
@@ -18,6 +18,25 @@ def _records(spark: SparkSession, d: str, tasks: bool = True) -> DataFrame:
     return of("tasks", "task_id", "input_text", "task").unionByName(out) if tasks else out
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = nearpass.near_pairs(table(spark, d, "evidence_items"), "evidence_id", "excerpt")
+    return pairs.select(F.col("id_a").alias("evidence_id_a"), F.col("id_b").alias("evidence_id_b"))
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each item with words, its class of equal word sets and the number of classes linked to it."""
+    return nearpass.near_links(table(spark, d, "evidence_items"), "evidence_id", "excerpt")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.forward_pieces(table(spark, d, "kb_documents"))
+
+
+def p2_bisected(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of every page by recursive bisection at the strongest boundary near the midpoint."""
+    return pieces.bisect_pieces(table(spark, d, "kb_documents"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return canon.lookalike_pairs(_records(spark, d))
 
@@ -32,8 +51,34 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return p8_ids(spark, d).select("doc_id", bpe.decode(F.col("ids"), v).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p8_ids, p8_round_trip)}
+def p9_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Item windows found in documents with at most two edits."""
+    return leak.leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_regions(spark, d).filter("edits = 0").select("doc_id", "item_id").distinct()
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that each leaked item was found in."""
+    return p9_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_bisected, p6_found, p8_ids, p8_round_trip, p9_regions, p9_found, p9_items)}
 SQL: dict[str, str] = {
-    # The decoded ids must give back every text.
-    "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    # A recursive walk along each page, one piece a step.
+    "p2_found": """
+WITH RECURSIVE pages AS (
+  SELECT DISTINCT document_id, i AS page_no, pages[i] AS page FROM kb_documents, range(1, len(pages) + 1) r(i) WHERE length(pages[i]) > 420
+), cut AS (
+  SELECT document_id, page_no, page, NULL::BIGINT AS a, NULL::BIGINT AS b, 0::BIGINT AS nxt FROM pages
+  UNION ALL
+  SELECT document_id, page_no, page, s, e, CASE WHEN e < length(page) THEN e - 60 END FROM (
+    SELECT document_id, page_no, page, nxt AS s, CASE WHEN nxt + 420 >= length(page) THEN length(page) ELSE coalesce(nxt + 260 + (
+      SELECT max(x) FROM range(1, 161) t(x) WHERE substr(page, nxt + 260 + x, 1) IN (chr(10), '。', '！', '？') OR (x < 160 AND substr(page, nxt + 260 + x, 2) = '. ')), nxt + 420) END AS e
+    FROM cut WHERE nxt IS NOT NULL)
+)
+SELECT DISTINCT document_id, page_no::BIGINT AS page_no, a AS char_start, b AS char_end FROM cut
+WHERE a IS NOT NULL AND trim(substr(page, a + 1, b - a), ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)) <> ''""",
 }

@@ -41,6 +41,11 @@ def pairs_within(df: DataFrame, group: list[str], key: str, unless_equal: str |
     return (met.filter(F.col("_ua") != F.col("_ub")) if unless_equal else met).select(*group, f"{key}_a", f"{key}_b")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with *value* computed once a row; the optimizer would repeat it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stripped(text: Column) -> Column:
     """Without outer white space of any kind."""
     return F.regexp_replace(text, r"^[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$", "")
