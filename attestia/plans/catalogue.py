@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = []
+MODULES: list[str] = ["quantities"]
 
 
 def gather() -> tuple[dict, dict]:
