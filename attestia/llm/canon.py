@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from attestia.session import written
 
-from .fold import make_fold
+from attestia.functions.fold import make_fold
 from .shared import let, map_words, pairs_within, stripped
 
 TOKENS = r"[\p{L}\p{M}\p{N}\p{Cf}]+|[^\p{L}\p{M}\p{N}\p{Cf}]+"

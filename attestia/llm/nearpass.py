@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from attestia.session import written
 
-from .fold import make_fold
+from attestia.functions.fold import make_fold
 from .shared import pairs_within
 
 #: Ratio of neighbouring size bands: a partner of at least 0.8 of the size lies in the same band or the one below.
