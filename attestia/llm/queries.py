@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attestia.session import table
 
-from . import bpe, canon, leak, nearpass, neighbours, pieces
+from . import bpe, canon, leak, nearpass, neighbours, pieces, sentences
 
 
 def _records(spark: SparkSession, d: str, tasks: bool = True) -> DataFrame:
@@ -37,6 +37,10 @@ def p2_bisected(spark: SparkSession, d: str) -> DataFrame:
     return pieces.bisect_pieces(table(spark, d, "kb_documents"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "tasks"), "task_id", "input_text")
+
+
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """(id, neighbour, similarity): the five most similar of every usable vector."""
     return neighbours.nearest(table(spark, d, "kb_chunks").filter(F.col("embedding_model") == "lattice-base-64"), "chunk_id", "embedding", k=5, size=64)
@@ -75,7 +79,7 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_bisected, p4_neighbours, p4_found, p6_found, p8_ids, p8_round_trip, p9_regions, p9_found, p9_items)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_bisected, p3_found, p4_neighbours, p4_found, p6_found, p8_ids, p8_round_trip, p9_regions, p9_found, p9_items)}
 SQL: dict[str, str] = {
     # A recursive walk along each page, one piece a step.
     "p2_found": """
