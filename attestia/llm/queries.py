@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attestia.session import table
 
-from . import bpe, canon, leak, nearpass, neighbours, pieces, sentences
+from . import abuse, boilerplate, bpe, canon, leak, nearpass, neighbours, pieces, sentences
 
 
 def _records(spark: SparkSession, d: str, tasks: bool = True) -> DataFrame:
@@ -51,6 +51,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("chunk_id_a"), F.greatest("id", "neighbour").alias("chunk_id_b")).distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    def of(name: str, key: str, text: str, kind: str) -> DataFrame:
+        return table(spark, d, name).select(F.lit(kind).alias("record_kind"), F.col(key).alias("record_key"), "url", "publisher", F.col(text).alias("text"))
+
+    return boilerplate.furniture_lines(of("search_results", "result_id", "content", "search_result").unionByName(of("evidence_items", "evidence_id", "excerpt", "evidence")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return canon.lookalike_pairs(_records(spark, d))
 
@@ -79,7 +86,22 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_bisected, p3_found, p4_neighbours, p4_found, p6_found, p8_ids, p8_round_trip, p9_regions, p9_found, p9_items)}
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its score and the nearest abusive example."""
+    return abuse.scores(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "moderation_samples"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).filter(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, flagged documents and their share per source."""
+    both = table(spark, d, "documents").select("doc_id", "source").join(p10_scores(spark, d).select("doc_id", "score"), "doc_id")
+    return both.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("score") >= abuse.THRESHOLD).alias("flagged"), F.round(F.avg((F.col("score") >= abuse.THRESHOLD).cast("int")), 6).alias("rate"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_bisected, p3_found, p4_neighbours, p4_found, p5_found, p6_found, p8_ids, p8_round_trip, p9_regions, p9_found, p9_items, p10_scores, p10_found, p10_rates)}
 SQL: dict[str, str] = {
     # A recursive walk along each page, one piece a step.
     "p2_found": """
