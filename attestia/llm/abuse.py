@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from attestia.functions.fold import make_fold
 
 MOST_EXAMPLES = 20_000
-NEIGHBOURS, BLOCK, DOUBT, THRESHOLD = 7, 64, 0.4, 0.5
+NEIGHBOURS, BLOCK, DOUBT, THRESHOLD = 7, 64, 0.4, 0.7
 # Signs that stand for letters inside a word.
 SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 
