@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["quantities"]
+MODULES: list[str] = ["quantities", "judging"]
 
 
 def gather() -> tuple[dict, dict]:
