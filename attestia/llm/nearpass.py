@@ -33,6 +33,10 @@ from .shared import pairs_within
 
 #: Ratio of neighbouring size bands: a partner of at least 0.8 of the size lies in the same band or the one below.
 COUNT_BINS = 1 << 16
+#: Buckets of the signature filter, and the least and most bits of its bitmap (at most 64 MB, whatever the corpus).
+BUCKETS, LEAST_BITS, MOST_BITS = 64, 1 << 22, 1 << 29
+#: Rows that may be broadcast (16 bytes each); beyond that the joins shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def make_words():
@@ -138,14 +142,16 @@ def _bands(share: Fraction, longest: int) -> np.ndarray:
     return np.array(ends)
 
 
-def _signatures(share: Fraction, costs: np.ndarray, spare: float):
-    """A function for mapInArrow: classes -> (sig, probe, class, size, s0, s1) rows of both sides of the join."""
+def _signatures(share: Fraction, costs: np.ndarray, spare: float, shipped=None, want=None):
+    """A function for mapInArrow over classes. Without *shipped*: sorted signature blobs (bucket, blob) of all rows.
+    With the bitmap of repeated signatures: the (sig, class, size, s0, s1) rows of the index or the probing side that may meet another."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = None if shipped is None else np.frombuffer(shipped.value, dtype=np.uint8)
         bands = _bands(share, 1 << 20)
         log_cost = np.log2(np.maximum(costs, 1) / max(1.0, float(costs.max())))
 
-        def side(codes, row, size, band, probe):
+        def side(codes, row, size, band, probe, own_band):
             """Rows of one side; band: by set, the band whose partition is used (-1: none)."""
             top = bands[np.minimum(band + 1, len(bands) - 1)] - 1
             k_band = np.array([_allowed(int(t), int(t), share) for t in top])
@@ -182,6 +188,8 @@ def _signatures(share: Fraction, costs: np.ndarray, spare: float):
             exact, near = taken[: len(owner)], taken[len(owner) :]
             exact = exact | near
             pick = near[slot]
+            if bitmap is None and len(np.unique(own_band)) == 1 and own_band[0]:
+                return np.r_[ones(full[near]), less[pick]], np.r_[owner[near], row[pick]]  # the exact ones are the set's own index rows
             return np.r_[full[exact], ones(full[near]), less[pick]], np.r_[owner[exact], owner[near], row[pick]]
 
         for part in parts:
@@ -198,21 +206,67 @@ def _signatures(share: Fraction, costs: np.ndarray, spare: float):
             below = np.flatnonzero((own > 0) & (least < bands[own]))
             if len(below):
                 jobs.append((True, own[below] - 1, below))
+            blobs = []
             for probe, band, some in jobs:
+                if want is not None and probe != want:
+                    continue
                 if len(some) == n:
                     c, r, s = codes, row, size
                 else:
                     keep = np.isin(row, some)
                     c, s = codes[keep], size[some]
                     r = np.repeat(np.arange(len(some)), s)
-                sig, who = side(c, r, s, band, probe)
-                who = some[who]
-                for a in range(0, len(sig), 400_000):
-                    w = pa.array(who[a : a + 400_000])
+                sig, who = side(c, r, s, band, probe, [probe and band is own])
+                if bitmap is None:
+                    blobs.append(sig)
+                    continue
+                place = sig % np.uint64(8 * len(bitmap))
+                keep = (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                sig, who = sig[keep], some[who[keep]]
+                for a in range(0, len(sig), 200_000):
+                    w = pa.array(who[a : a + 200_000])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(sig[a : a + 400_000].view(np.int64)), pa.array(np.full(len(w), probe)), part.column(0).take(w), part.column(1).take(w), part.column(2).take(w), part.column(3).take(w)],
-                        names=["sig", "probe", "class", "size", "s0", "s1"],
+                        [pa.array(sig[a : a + 200_000].view(np.int64)), part.column(0).take(w), part.column(1).take(w), part.column(2).take(w), part.column(3).take(w)],
+                        names=["sig", "class", "size", "s0", "s1"],
                     )
+            if bitmap is None:
+                sig = np.concatenate(blobs)
+                bucket, low = (sig % np.uint64(BUCKETS)).astype(np.int64), (sig // np.uint64(BUCKETS)).astype(np.uint32)
+                order = np.lexsort((low, bucket))
+                bucket, low = bucket[order], low[order]
+                ends = np.searchsorted(bucket, np.arange(BUCKETS + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(range(BUCKETS), pa.int32()), pa.array([_packed(low[x:y]) for x, y in zip(ends[:-1], ends[1:])], pa.binary())], names=["bucket", "blob"])
+
+    return run
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Sorted numbers as compressed differences."""
+    import zlib
+
+    return zlib.compress(np.diff(x, prepend=np.uint32(0)).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1) if len(x) else b""
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    import zlib
+
+    if not blob:
+        return np.zeros(0, dtype=np.uint32)
+    return np.cumsum(np.frombuffer(zlib.decompress(blob), dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint32)
+
+
+def _repeated(bits: int):
+    """A function for applyInPandas: the places, in a bitmap of *bits*, of the signatures of a bucket that occur twice or more."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        low = np.sort(np.concatenate([_unpacked(b) for b in part["blob"]]))
+        twice = np.unique(low[1:][low[1:] == low[:-1]]).astype(np.uint64)
+        bucket = int(part["bucket"].iloc[0])
+        # bits is a multiple of BUCKETS, so the low 32 bits above the bucket decide the place.
+        place = np.unique((twice * np.uint64(BUCKETS) + np.uint64(bucket)) % np.uint64(bits))
+        mine = np.zeros(bits // BUCKETS, dtype=np.uint8)
+        mine[(place // np.uint64(BUCKETS)).astype(np.int64)] = 1
+        return pd.DataFrame({"bucket": [bucket], "map": [np.packbits(mine, bitorder="little").tobytes()]})
 
     return run
 
@@ -226,40 +280,63 @@ def _count_bins(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def near_classes(classes: DataFrame, share: Fraction = Fraction(4, 5), spare: float = 1.15) -> DataFrame:
+def near_classes(classes: DataFrame, count: int, share: Fraction = Fraction(4, 5), spare: float = 1.15) -> DataFrame:
     """(class_a, class_b): different classes of which at least *share* of the larger one's elements are shared.
 
-    *classes*: (class, size, s0, s1, elements), one row a class, read several times.
+    *classes*: (class, size, s0, s1, elements), one row a class, *count* rows.
     """
     costs = _count_bins(classes)
-    sides = classes.select("class", "size", "s0", "s1", "elements").mapInArrow(_signatures(share, costs, spare), "sig bigint, probe boolean, class bigint, size int, s0 bigint, s1 bigint")
-    index = sides.filter("NOT probe").select("sig", F.col("class").alias("class_b"), F.col("size").alias("size_b"), F.col("s0").alias("s0_b"), F.col("s1").alias("s1_b"))
-    probe = sides.filter("probe").select("sig", F.col("class").alias("class_a"), F.col("size").alias("size_a"), F.col("s0").alias("s0_a"), F.col("s1").alias("s1_a"))
+    slim = classes.select("class", "size", "s0", "s1", "elements")
+    # Most signatures occur once and meet nothing: a first pass finds the repeated ones, the second drops the others.
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, 128 * count):
+        bits *= 2
+    maps = slim.mapInArrow(_signatures(share, costs, spare), "bucket int, blob binary").groupBy("bucket").applyInPandas(_repeated(bits), "bucket int, map binary").collect()
+    planes = np.zeros((BUCKETS, bits // BUCKETS), dtype=np.uint8)
+    for r in maps:
+        planes[r["bucket"]] = np.unpackbits(np.frombuffer(r["map"], dtype=np.uint8), bitorder="little")
+    shipped = classes.sparkSession.sparkContext.broadcast(np.packbits(planes.T.ravel(), bitorder="little").tobytes())
+    schema = "sig bigint, class bigint, size int, s0 bigint, s1 bigint"
+    index = slim.mapInArrow(_signatures(share, costs, spare, shipped, False), schema).toDF("sig", "class_b", "size_b", "s0_b", "s1_b")
+    probe = slim.mapInArrow(_signatures(share, costs, spare, shipped, True), schema).toDF("sig", "class_a", "size_a", "s0_a", "s1_a")
     need = F.ceil(F.col("size_a") * F.lit(share.numerator) / F.lit(share.denominator))
     flips = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
-    candidates = probe.join(index, "sig").filter(
+    candidates = written(probe.join(index, "sig").filter(
         ((F.col("size_a") > F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("class_a") < F.col("class_b"))))
         & (F.col("size_b") >= need) & (flips <= F.col("size_a") + F.col("size_b") - 2 * need)
-    ).select("class_a", "class_b").distinct()
-    a = classes.select(F.col("class").alias("class_a"), F.col("size").alias("size_a"), F.col("elements").alias("ea"))
-    b = classes.select(F.col("class").alias("class_b"), F.col("elements").alias("eb"))
+    ).select("class_a", "class_b").distinct(), "candidates")
+    # Only classes with a candidate take their elements to the exact check.
+    ends = candidates.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
+    some = written(classes.select("class", "size", "elements").join(_sized(ends), "class", "left_semi"), "ends")
+    a = some.select(F.col("class").alias("class_a"), F.col("size").alias("size_a"), F.col("elements").alias("ea"))
+    b = some.select(F.col("class").alias("class_b"), F.col("elements").alias("eb"))
     exact = candidates.join(a, "class_a").join(b, "class_b").filter(F.size(F.array_intersect("ea", "eb")) >= need)
     return exact.select("class_a", "class_b")
 
 
-def passages(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(membership (id, class), classes): one row a text, one row a class; both are written tables' reads."""
+def _sized(df: DataFrame) -> DataFrame:
+    """A broadcast hint where the table has few rows, else the table as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def passages(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, int]:
+    """(membership (id, class), classes with one row a class, their number)."""
     sets = written(word_sets(df, key, text), "wordsets")
     members = sets.select("id", "class").distinct()
-    classes = written(sets.groupBy("class").agg(F.first("size").alias("size"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("elements").alias("elements")), "wordclasses")
-    return members, classes
+    many = written(members.groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("n")), "classes")
+    # Rows of a repeated class but for its first; a repeated row of the same id is dropped by its class as well.
+    heads = sets.join(_sized(many.filter("n > 1").select("class", "first")), "class", "left").filter("first IS NULL OR first = id").drop("first")
+    repeated = sets.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id")
+    once = heads.join(_sized(repeated), "id", "left_anti")
+    again = heads.join(_sized(repeated), "id", "left_semi").dropDuplicates(["class"])
+    return members, once.unionByName(again), many.count()
 
 
 def near_pairs(df: DataFrame, key: str, text: str, share: Fraction = Fraction(4, 5)) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs of different ids whose texts share at least *share* of the longer one's words."""
-    members, classes = passages(df, key, text)
+    members, classes, count = passages(df, key, text)
     same = pairs_within(members, ["class"], "id").select("id_a", "id_b")
-    links = near_classes(classes, share)
+    links = near_classes(classes, count, share)
     across = links.join(members.select(F.col("class").alias("class_a"), F.col("id").alias("x")), "class_a").join(members.select(F.col("class").alias("class_b"), F.col("id").alias("y")), "class_b")
     across = across.filter("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return same.unionByName(across).distinct()
@@ -267,7 +344,7 @@ def near_pairs(df: DataFrame, key: str, text: str, share: Fraction = Fraction(4,
 
 def near_links(df: DataFrame, key: str, text: str, share: Fraction = Fraction(4, 5)) -> DataFrame:
     """(id, class, links): one row a text with its class and the number of other classes it is linked to."""
-    members, classes = passages(df, key, text)
-    links = near_classes(classes, share)
+    members, classes, count = passages(df, key, text)
+    links = near_classes(classes, count, share)
     ends = links.select(F.col("class_a").alias("class")).unionByName(links.select(F.col("class_b").alias("class"))).groupBy("class").agg(F.count("*").alias("links"))
     return members.join(ends, "class", "left").select("id", "class", F.coalesce("links", F.lit(0)).alias("links"))
