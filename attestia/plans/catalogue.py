@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["quantities", "judging"]
+MODULES: list[str] = ["quantities", "judging", "searching", "tables"]
 
 
 def gather() -> tuple[dict, dict]:
