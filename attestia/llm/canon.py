@@ -2,26 +2,56 @@
 
 A weighted edit automaton walks the tries of the corpus vocabulary: reading a look-alike, an
 ignorable or a piece of a ligature costs 0, everything else is beyond the budget. All vocabulary
-spellings an input reaches are one class; its canonical spelling is the one most texts use among
-the spellings the character table leaves unchanged, else among all (ties: the smallest). Tokens
-without a vocabulary match are normalised by the table.
-
-Pure ASCII texts are canonical already. Defined results: null gives null, blank text gives "".
+spellings an input reaches are one class. Its canonical spelling is the drawn form itself where that is
+of one script, else the spelling of one script that most texts use (ties: the smallest), else the form
+given by the character table; tokens without a vocabulary match are normalised by the table.
+
+Only tokens that the table changes or that mix scripts can differ from their canonical spelling, so only
+those enter the vocabulary, counted over all texts. Replacements are shipped in blocks of bounded size;
+texts never leave their partition. Pure ASCII texts are canonical already.
+Defined results: null gives null, blank text gives "".
 """
 from __future__ import annotations
 
+import unicodedata
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestia.functions.fold import make_fold
 from attestia.session import written
 
-from attestia.functions.fold import make_fold
-from .shared import let, map_words, pairs_within, stripped
+from .shared import pairs_within, stripped
 
 TOKENS = r"[\p{L}\p{M}\p{N}\p{Cf}]+|[^\p{L}\p{M}\p{N}\p{Cf}]+"
+#: Replacements shipped to the workers at once.
+BLOCK = 500_000
+BUCKETS = 64
+
+
+def scripts(token: str) -> set[str]:
+    """Scripts of the letters of a token, by the first word of their names."""
+    return {unicodedata.name(ch, "?").split(" ")[0] for ch in token if ch.isalpha()}
+
+
+def make_suspect(fold):
+    """suspect(token): the table changes it, or its letters are of several scripts."""
+    known: dict[str, bool] = {}
+
+    def suspect(token: str) -> bool:
+        out = known.get(token)
+        if out is None:
+            if len(known) > 300_000:
+                known.clear()
+            out = known[token] = fold(token) != token or bool({"CYRILLIC", "GREEK", "ARMENIAN"} & (s := scripts(token))) and len(s) > 1
+        return out
+
+    return suspect
 
 
 class Trie:
@@ -43,26 +73,26 @@ class Trie:
         return node
 
     def add(self, token: str, n: int) -> None:
-        self.walk(token, True).setdefault("", []).append((self.fold(token) != token, -n, token))
+        pure = len(scripts(token)) == 1 and unicodedata.normalize("NFKC", token) == token and token.isalpha()
+        self.walk(token, True).setdefault("", []).append((not pure, -n, token))
 
     def canonical(self, token: str) -> str:
+        drawn = self.fold(token)
+        if len(scripts(drawn)) < 2:
+            return drawn
         node = self.walk(token, False)
-        known = node.get("") if node is not None else None
-        best = min(known) if known else (True,)
-        # A class whose only spellings mix scripts or widths is written by the table.
-        return best[2] if not best[0] else self.fold(token)
+        impure, _, best = min((node or {}).get("", [(True, 0, drawn)]))
+        return drawn if impure else best
 
 
-def _skeletons(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    fold = make_fold()
-    for part in parts:
-        yield part.assign(bucket=[hash_text(fold(t)) for t in part["token"]])
-
+def _suspects(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import regex
 
-def hash_text(text: str) -> int:
-    import zlib
-
-    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    fold, cut = make_fold(), regex.compile(TOKENS)
+    suspect = make_suspect(fold)
+    for part in parts:
+        seen = Counter(t for text in part.column(0).to_pylist() for t in cut.findall(text) if not t.isascii() and suspect(t))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([zlib.crc32(fold(t).encode("utf-8", "surrogatepass")) % BUCKETS for t in seen], pa.int64())], names=["token", "n", "bucket"])
 
 
 def _spell(part: pd.DataFrame) -> pd.DataFrame:
@@ -72,41 +102,43 @@ def _spell(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"token": part["token"], "spelling": [trie.canonical(t) for t in part["token"]]})
 
 
-def spellings(tokens: DataFrame, buckets: int = 64) -> DataFrame:
-    """(token, spelling) of a table (token, n): one trie per bucket of drawn forms, so a class is never divided."""
-    keyed = tokens.mapInPandas(_skeletons, "token string, n bigint, bucket bigint").withColumn("bucket", F.pmod("bucket", F.lit(buckets)))
-    return keyed.groupBy("bucket").applyInPandas(_spell, "token string, spelling string")
+def spellings(texts: DataFrame, text: str) -> DataFrame:
+    """(token, spelling) of every suspect token: one trie per bucket of drawn forms, so a class is never divided."""
+    found = texts.select(text).mapInArrow(_suspects, "token string, n bigint, bucket bigint").groupBy("bucket", "token").agg(F.sum("n").alias("n"))
+    return found.groupBy("bucket").applyInPandas(_spell, "token string, spelling string")
+
 
+def canonical_texts(df: DataFrame, text: str, out: str = "canonical") -> DataFrame:
+    """*df* with the column *out*: the canonical form of *text* without outer white space."""
+    src = df.withColumn(out, stripped(F.col(text)))
+    plain = F.col(out).isNull() | ~F.col(out).rlike(r"[^\x00-\x7F]")
+    odd = src.filter(~plain)
+    changed = written(spellings(odd, out).filter("token <> spelling"), "spellings")
+    blocks = max(1, -(-changed.count() // BLOCK))
+    place = odd.columns.index(out)
+    schema = odd.schema
+    for n in range(blocks):
+        block = changed if blocks == 1 else changed.filter(F.pmod(F.xxhash64("token"), F.lit(blocks)) == n)
+        shipped = df.sparkSession.sparkContext.broadcast({r["token"]: r["spelling"] for r in block.toLocalIterator()})
 
-def canonical_texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, canonical) for every row of *df*; *key* must be unique. Outer white space is dropped."""
-    src = df.select(F.col(key).alias("_id"), stripped(F.col(text)).alias("_text"))
-    plain = ~F.col("_text").rlike(r"[^\x00-\x7F]")
-    whole = src.filter(F.col("_text").isNull() | plain).select("_id", F.col("_text").alias("canonical"))
-    # Read three times below, so written once: the tokens, and places and spellings of those beyond ASCII (no other can change).
-    odd = src.filter(~plain).select("_id", F.regexp_extract_all("_text", F.lit(TOKENS), F.lit(0)).alias("_tokens"))
-    strange = F.filter(F.transform("_tokens", lambda t, i: F.when(t.rlike(r"[^\x00-\x7F]"), F.struct(i.alias("at"), t.alias("token")))), lambda x: x.isNotNull())
-    odd = written(odd.withColumn("_odd", strange), "tokens")
-    known = spellings(odd.select(F.explode("_odd.token").alias("token")).groupBy("token").agg(F.count("*").alias("n")))
-    mapped = map_words(odd.select("_id", F.col("_odd.token").alias("_odd")), "_id", "_odd", known, "token", "spelling", "_new")
+        def replace(parts: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            import regex
 
-    def merged(new):
-        return F.array_join(F.transform("_tokens", lambda t, i: F.coalesce(F.try_element_at(new, i), t)), "")
+            cut, known = regex.compile(TOKENS), shipped.value
+            for part in parts:
+                texts = [t if t.isascii() else "".join(known.get(x, x) for x in cut.findall(t)) for t in part.column(place).to_pylist()]
+                yield part.set_column(place, part.schema.field(place), pa.array(texts, part.schema.field(place).type))
 
-    joined = odd.join(mapped, "_id").select("_id", let(F.map_from_arrays("_odd.at", "_new"), merged).alias("canonical"))
-    return whole.unionByName(joined).withColumnRenamed("_id", key)
+        odd = odd.mapInArrow(replace, schema)
+    return src.filter(plain).unionByName(odd)
 
 
 def lookalike_pairs(records: DataFrame) -> DataFrame:
     """(record_kind, key_a, key_b) of records (record_kind, record_key, text) that look the same and differ in characters.
 
     Repeated rows count once; a key with several different texts counts each of them. Null and
-    blank texts have no partner.
+    blank texts have no partner. Only hashes are shuffled.
     """
-    rows = written(records.select("record_kind", "record_key", stripped(F.col("text")).alias("text")).filter("text <> ''").distinct(), "records")
-    forms = canonical_texts(rows.select("text", F.col("text").alias("_t")).distinct(), "_t", "text").select(F.xxhash64("_t").alias("raw"), F.xxhash64("canonical").alias("form"))
-    keyed = rows.select("record_kind", "record_key", F.xxhash64("text").alias("raw"))
-    # A form that only one text has joins nothing.
-    shared = forms.groupBy("form").agg(F.collect_list("raw").alias("_raws"), F.count("*").alias("_n")).filter("_n > 1").select("form", F.explode("_raws").alias("raw"))
-    met = keyed.join(shared, "raw").select("record_kind", "form", "record_key", "raw")
-    return pairs_within(met, ["record_kind", "form"], "record_key", "raw").select("record_kind", F.col("record_key_a").alias("key_a"), F.col("record_key_b").alias("key_b")).distinct()
+    forms = canonical_texts(records.select("record_kind", "record_key", "text"), "text").filter("canonical <> ''")
+    keyed = forms.select("record_kind", "record_key", F.xxhash64(stripped(F.col("text"))).alias("raw"), F.xxhash64("canonical").alias("form"))
+    return pairs_within(keyed, ["record_kind", "form"], "record_key", "raw").select("record_kind", F.col("record_key_a").alias("key_a"), F.col("record_key_b").alias("key_b")).distinct()
