@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["quantities", "judging", "searching", "tables"]
+MODULES: list[str] = ["quantities", "judging", "searching", "tables", "moving"]
 
 
 def gather() -> tuple[dict, dict]:
