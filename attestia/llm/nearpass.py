@@ -143,7 +143,7 @@ def _bands(share: Fraction, longest: int) -> np.ndarray:
 
 
 def _signatures(share: Fraction, costs: np.ndarray, spare: float, shipped=None, want=None):
-    """A function for mapInArrow over classes. Without *shipped*: sorted signature blobs (bucket, blob) of all rows.
+    """A function for mapInArrow over classes. Without *shipped*: sorted signature blobs (bucket, kind, blob) of all rows.
     With the bitmap of repeated signatures: the (sig, class, size, s0, s1) rows of the index or the probing side that may meet another."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +151,7 @@ def _signatures(share: Fraction, costs: np.ndarray, spare: float, shipped=None,
         bands = _bands(share, 1 << 20)
         log_cost = np.log2(np.maximum(costs, 1) / max(1.0, float(costs.max())))
 
-        def side(codes, row, size, band, probe, own_band):
+        def side(codes, row, size, band, probe, own):
             """Rows of one side; band: by set, the band whose partition is used (-1: none)."""
             top = bands[np.minimum(band + 1, len(bands) - 1)] - 1
             k_band = np.array([_allowed(int(t), int(t), share) for t in top])
@@ -168,7 +168,7 @@ def _signatures(share: Fraction, costs: np.ndarray, spare: float, shipped=None,
                 full, less = _mix(total + place), _mix(total[slot] - _mix(codes) + place[slot])
             ones = lambda x: x ^ np.uint64(0xD6E8FEB86659FD93)  # the list of one-deletion neighbours
             if not probe:
-                return np.r_[full, ones(less)], np.r_[owner, row]
+                return [(INDEX, np.r_[full, ones(less)], np.r_[owner, row])]
             # log2 of the expected list lengths, from the elements' shares of all texts.
             p = log_cost[(codes & np.uint64(COUNT_BINS - 1)).astype(np.int64)]
             weight = np.zeros(len(owner))
@@ -188,10 +188,10 @@ def _signatures(share: Fraction, costs: np.ndarray, spare: float, shipped=None,
             exact, near = taken[: len(owner)], taken[len(owner) :]
             exact = exact | near
             pick = near[slot]
-            if bitmap is None and len(np.unique(own_band)) == 1 and own_band[0]:
-                return np.r_[ones(full[near]), less[pick]], np.r_[owner[near], row[pick]]  # the exact ones are the set's own index rows
-            return np.r_[full[exact], ones(full[near]), less[pick]], np.r_[owner[exact], owner[near], row[pick]]
+            # In its own band a set's exact probes are its own index rows as well.
+            return [(PROBE_OWN if own else PROBE, full[exact], owner[exact]), (PROBE, np.r_[ones(full[near]), less[pick]], np.r_[owner[near], row[pick]])]
 
+        held, waiting = {INDEX: [], PROBE_OWN: [], PROBE: []}, 0
         for part in parts:
             n = part.num_rows
             if not n:
@@ -206,7 +206,6 @@ def _signatures(share: Fraction, costs: np.ndarray, spare: float, shipped=None,
             below = np.flatnonzero((own > 0) & (least < bands[own]))
             if len(below):
                 jobs.append((True, own[below] - 1, below))
-            blobs = []
             for probe, band, some in jobs:
                 if want is not None and probe != want:
                     continue
@@ -216,30 +215,58 @@ def _signatures(share: Fraction, costs: np.ndarray, spare: float, shipped=None,
                     keep = np.isin(row, some)
                     c, s = codes[keep], size[some]
                     r = np.repeat(np.arange(len(some)), s)
-                sig, who = side(c, r, s, band, probe, [probe and band is own])
-                if bitmap is None:
-                    blobs.append(sig)
-                    continue
-                place = sig % np.uint64(8 * len(bitmap))
-                keep = (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                sig, who = sig[keep], some[who[keep]]
-                for a in range(0, len(sig), 200_000):
-                    w = pa.array(who[a : a + 200_000])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(sig[a : a + 200_000].view(np.int64)), part.column(0).take(w), part.column(1).take(w), part.column(2).take(w), part.column(3).take(w)],
-                        names=["sig", "class", "size", "s0", "s1"],
-                    )
-            if bitmap is None:
-                sig = np.concatenate(blobs)
-                bucket, low = (sig % np.uint64(BUCKETS)).astype(np.int64), (sig // np.uint64(BUCKETS)).astype(np.uint32)
-                order = np.lexsort((low, bucket))
-                bucket, low = bucket[order], low[order]
-                ends = np.searchsorted(bucket, np.arange(BUCKETS + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(range(BUCKETS), pa.int32()), pa.array([_packed(low[x:y]) for x, y in zip(ends[:-1], ends[1:])], pa.binary())], names=["bucket", "blob"])
+                for kind, sig, who in side(c, r, s, band, probe, band is own):
+                    if bitmap is None:
+                        held[kind].append(sig)
+                        waiting += len(sig)
+                        continue
+                    place = _place(sig, 8 * len(bitmap))
+                    keep = (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    sig, who = sig[keep], some[who[keep]]
+                    for a in range(0, len(sig), 200_000):
+                        w = pa.array(who[a : a + 200_000])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(sig[a : a + 200_000].view(np.int64)), part.column(0).take(w), part.column(1).take(w), part.column(2).take(w), part.column(3).take(w)],
+                            names=["sig", "class", "size", "s0", "s1"],
+                        )
+            if waiting > 8_000_000:
+                yield _blobs(held)
+                held, waiting = {INDEX: [], PROBE_OWN: [], PROBE: []}, 0
+        if waiting:
+            yield _blobs(held)
 
     return run
 
 
+INDEX, PROBE_OWN, PROBE = 0, 1, 2
+LOW_BITS = 28
+
+
+def _split(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and low bits of signatures: all that the filter knows of them."""
+    return (sig % np.uint64(BUCKETS)).astype(np.int64), ((sig // np.uint64(BUCKETS)) & np.uint64((1 << LOW_BITS) - 1)).astype(np.uint32)
+
+
+def _place(sig: np.ndarray, bits: int) -> np.ndarray:
+    """Place of each signature in a bitmap of *bits*, a power of two."""
+    return sig % np.uint64(bits)
+
+
+def _blobs(held: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
+    buckets, kinds, blobs = [], [], []
+    for kind, sigs in held.items():
+        bucket, low = _split(np.concatenate(sigs)) if sigs else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        order = np.argsort((bucket.astype(np.uint64) << np.uint64(32)) | low)
+        bucket, low = bucket[order], low[order]
+        ends = np.searchsorted(bucket, np.arange(BUCKETS + 1))
+        for n in range(BUCKETS):
+            if ends[n + 1] > ends[n]:
+                buckets.append(n)
+                kinds.append(kind)
+                blobs.append(_packed(low[ends[n] : ends[n + 1]]))
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
+
+
 def _packed(x: np.ndarray) -> bytes:
     """Sorted numbers as compressed differences."""
     import zlib
@@ -256,13 +283,16 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 
 def _repeated(bits: int):
-    """A function for applyInPandas: the places, in a bitmap of *bits*, of the signatures of a bucket that occur twice or more."""
+    """A function for applyInPandas: a bucket's part of a bitmap of *bits* that marks the signatures which a
+    set asks for and a different set may answer: probed, and twice or more among index rows and foreign probes."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        low = np.sort(np.concatenate([_unpacked(b) for b in part["blob"]]))
-        twice = np.unique(low[1:][low[1:] == low[:-1]]).astype(np.uint64)
+        of = {k: [_unpacked(b) for b in part.loc[part["kind"] == k, "blob"]] + [np.zeros(0, np.uint32)] for k in (INDEX, PROBE_OWN, PROBE)}
+        low = np.sort(np.concatenate(of[INDEX] + of[PROBE]))
+        twice = np.unique(low[1:][low[1:] == low[:-1]])
+        twice = np.intersect1d(twice, np.unique(np.concatenate(of[PROBE_OWN] + of[PROBE])), assume_unique=True).astype(np.uint64)
         bucket = int(part["bucket"].iloc[0])
-        # bits is a multiple of BUCKETS, so the low 32 bits above the bucket decide the place.
+        # bits is a multiple of BUCKETS, and bits / BUCKETS at most 2 ** LOW_BITS, so the known bits decide the place.
         place = np.unique((twice * np.uint64(BUCKETS) + np.uint64(bucket)) % np.uint64(bits))
         mine = np.zeros(bits // BUCKETS, dtype=np.uint8)
         mine[(place // np.uint64(BUCKETS)).astype(np.int64)] = 1
@@ -291,7 +321,7 @@ def near_classes(classes: DataFrame, count: int, share: Fraction = Fraction(4, 5
     bits = LEAST_BITS
     while bits < min(MOST_BITS, 128 * count):
         bits *= 2
-    maps = slim.mapInArrow(_signatures(share, costs, spare), "bucket int, blob binary").groupBy("bucket").applyInPandas(_repeated(bits), "bucket int, map binary").collect()
+    maps = slim.mapInArrow(_signatures(share, costs, spare), "bucket int, kind int, blob binary").groupBy("bucket").applyInPandas(_repeated(bits), "bucket int, map binary").collect()
     planes = np.zeros((BUCKETS, bits // BUCKETS), dtype=np.uint8)
     for r in maps:
         planes[r["bucket"]] = np.unpackbits(np.frombuffer(r["map"], dtype=np.uint8), bitorder="little")
