@@ -1,6 +1,7 @@
 """Document files as (path, filename, pages, error) tables: text, Markdown, DOCX and, where a reader is installed, PDF.
 
-A file that cannot be read becomes a row with *error* and no pages; nothing is dropped.
+A file that cannot be read becomes a row with *error* and no pages. Files of no bytes never reach the
+reader: Spark passes over them when it plans the scan.
 """
 from __future__ import annotations
 
