@@ -140,5 +140,5 @@ def lookalike_pairs(records: DataFrame) -> DataFrame:
     blank texts have no partner. Only hashes are shuffled.
     """
     forms = canonical_texts(records.select("record_kind", "record_key", "text"), "text").filter("canonical <> ''")
-    keyed = forms.select("record_kind", "record_key", F.xxhash64(stripped(F.col("text"))).alias("raw"), F.xxhash64("canonical").alias("form"))
+    keyed = written(forms.select("record_kind", "record_key", F.xxhash64(stripped(F.col("text"))).alias("raw"), F.xxhash64("canonical").alias("form")), "forms")
     return pairs_within(keyed, ["record_kind", "form"], "record_key", "raw").select("record_kind", F.col("record_key_a").alias("key_a"), F.col("record_key_b").alias("key_b")).distinct()
