@@ -103,6 +103,13 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_bisected, p3_found, p4_neighbours, p4_found, p5_found, p6_found, p8_ids, p8_round_trip, p9_regions, p9_found, p9_items, p10_scores, p10_found, p10_rates)}
 SQL: dict[str, str] = {
+    # The definition itself: every window of every item searched in every text.
+    "p9_found": """
+WITH w AS (SELECT item_id, lang, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS words FROM (SELECT DISTINCT item_id, lang, text FROM eval_items)),
+l AS (SELECT *, array_to_string(words, '') AS letters FROM w),
+v AS (SELECT DISTINCT item_id, CASE WHEN lang = 'zh' THEN substr(letters, i, 20) ELSE array_to_string(words[i:i + 11], '') END AS part FROM l, range(1, 5000) r(i) WHERE i <= CASE WHEN lang = 'zh' THEN length(letters) - 19 ELSE len(words) - 11 END),
+d AS (SELECT DISTINCT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS stream FROM documents WHERE text IS NOT NULL)
+SELECT DISTINCT doc_id, item_id FROM d JOIN v ON contains(stream, part)""",
     # A recursive walk along each page, one piece a step.
     "p2_found": """
 WITH RECURSIVE pages AS (
