@@ -31,7 +31,7 @@ from attestia.session import written
 from attestia.functions.fold import make_fold
 from .shared import pairs_within
 
-#: Ratio of neighbouring size bands: a partner of at least 0.8 of the size lies in the same band or the one below.
+#: Bins of the element counts.
 COUNT_BINS = 1 << 16
 #: Buckets of the signature filter, and the least and most bits of its bitmap (at most 64 MB, whatever the corpus).
 BUCKETS, LEAST_BITS, MOST_BITS = 64, 1 << 22, 1 << 29
@@ -133,11 +133,15 @@ def _allowed(large: int, small: int, share: Fraction) -> int:
     return small + large - 2 * need
 
 
-def _bands(share: Fraction, longest: int) -> np.ndarray:
+#: Ratio of neighbouring size bands: the narrower, the tighter the bound on the differences and the more bands a set probes.
+RATIO = 1.12
+
+
+def _bands(longest: int, ratio: float = RATIO) -> np.ndarray:
     """Lower ends of the size bands."""
     ends, at = [1], 1
     while at <= longest:
-        at = max(at + 1, int(np.ceil(at / float(share))))
+        at = max(at + 1, int(np.ceil(at * ratio)))
         ends.append(at)
     return np.array(ends)
 
@@ -148,7 +152,7 @@ def _signatures(share: Fraction, costs: np.ndarray, spare: float, shipped=None,
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = None if shipped is None else np.frombuffer(shipped.value, dtype=np.uint8)
-        bands = _bands(share, 1 << 20)
+        bands = _bands(1 << 20, RATIO)
         log_cost = np.log2(np.maximum(costs, 1) / max(1.0, float(costs.max())))
 
         def side(codes, row, size, band, probe, own):
@@ -201,11 +205,11 @@ def _signatures(share: Fraction, costs: np.ndarray, spare: float, shipped=None,
             row = np.repeat(np.arange(n), size)
             own = np.searchsorted(bands, size, side="right") - 1
             jobs = [(False, own, np.arange(n)), (True, own, np.arange(n))]
-            # Partners below: only sets whose smallest partner lies in the band below.
-            least = np.array([-((-share.numerator * int(s)) // share.denominator) for s in size])
-            below = np.flatnonzero((own > 0) & (least < bands[own]))
-            if len(below):
-                jobs.append((True, own[below] - 1, below))
+            # Partners below: every band between a set's own and that of its smallest partner.
+            low = np.searchsorted(bands, [-((-share.numerator * int(s)) // share.denominator) for s in size], side="right") - 1
+            for down in range(1, int((own - low).max()) + 1):
+                below = np.flatnonzero(own - low >= down)
+                jobs.append((True, own[below] - down, below))
             for probe, band, some in jobs:
                 if want is not None and probe != want:
                     continue

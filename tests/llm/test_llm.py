@@ -202,10 +202,10 @@ def test_abuse_search_is_exact_and_forms_are_undone(spark):
     assert sorted(x for x, hit, _ in got if hit) == [1, 5] and len(got) == 6
 
 
-def test_bands_never_lose_a_partner():
-    share, bands = Fraction(4, 5), nearpass._bands(Fraction(4, 5), 5000)
-    for s in range(1, 4000):
-        own = np.searchsorted(bands, s, side="right") - 1
-        least = -(-4 * s // 5)
-        assert np.searchsorted(bands, least, side="right") - 1 >= own - 1
-        assert nearpass._allowed(s, least, share) >= 0
+def test_bands_and_bounds():
+    bands = nearpass._bands(5000)
+    assert all(a < b for a, b in zip(bands, bands[1:])) and bands[0] == 1
+    for s in range(1, 400):
+        for t in range(-(-4 * s // 5), s + 1):
+            # The most differences at the least overlap.
+            assert nearpass._allowed(s, t, Fraction(4, 5)) == s + t - 2 * -(-4 * s // 5) >= 0
