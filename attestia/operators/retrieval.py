@@ -6,8 +6,11 @@ with a window that Spark prunes to the wanted ranks before the shuffle. Null tex
 """
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from attestia.functions.text import terms
 
@@ -49,17 +52,42 @@ def dot(a: Column, b: Column) -> Column:
 def vector_topk(queries: DataFrame, query_key: str, query_vector: str, passages: DataFrame, key: str, vector: str, top: int, least: float) -> DataFrame:
     """(query_key, key, score, rank) by inner product of unit vectors, scores of *least* or more.
 
-    A stated set of queries against all passages, in blocks of BLOCK queries: a block is broadcast, its size
-    is bounded whatever the number of queries. For every vector against every other use a graph index instead.
+    A stated set of queries against all passages, in blocks of BLOCK queries: a block is one matrix shipped to the
+    workers, bounded whatever the number of queries, and every batch of passages keeps only what can be among a
+    query's best before anything is shuffled. For every vector against every other use a graph index instead.
+    Null vectors and those of another length than a block's first match nothing.
     """
-    asked = queries.select(F.col(query_key), F.col(vector if query_vector == vector else query_vector).alias("_q"))
+    asked = queries.select(F.col(query_key), F.col(query_vector).alias("_q")).filter("_q IS NOT NULL")
     blocks, out = max(1, -(-asked.count() // BLOCK)), None
+    kinds = {**dict(queries.dtypes), **dict(passages.dtypes)}
+    schema = f"{query_key} {kinds[query_key]}, {key} {kinds[key]}, score double"
     for n in range(blocks):
         block = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == n)
-        met = passages.join(F.broadcast(block), F.size(vector) == F.size("_q")).withColumn("score", F.round(dot(F.col("_q"), F.col(vector)), 6))
-        some = ranked(met.filter(F.col("score") >= least).select(query_key, key, "score"), query_key, key, top)
+        some = passages.select(key, vector).mapInArrow(_scorer([(r[0], r[1]) for r in block.toLocalIterator()], top, least, [query_key, key, "score"], to_arrow_type(asked.schema[query_key].dataType)), schema)
         out = some if out is None else out.unionByName(some)
-    return out
+    return ranked(out, query_key, key, top)
+
+
+def _scorer(asked: list[tuple], top: int, least: float, names: list[str], keys: pa.DataType):
+    """A function for mapInArrow: (key, vector) -> the pairs with a query that can be among its best *top*."""
+
+    def run(parts):
+        size = len(asked[0][1]) if asked else 0
+        rows = [(k, v) for k, v in asked if len(v) == size]
+        Q = np.array([v for _, v in rows], dtype=np.float64).reshape(len(rows), size)
+        for part in parts:
+            kept = [(i, v) for i, v in enumerate(part.column(1).to_pylist()) if v is not None and len(v) == size]
+            for a in range(0, len(kept) if rows else 0, 1000):  # a small matrix at a time
+                some = kept[a : a + 1000]
+                scores = np.round(Q @ np.array([v for _, v in some], dtype=np.float64).T, 6)
+                least_kept = np.full(len(rows), least)
+                if len(some) > top:
+                    least_kept = np.maximum(least, -np.partition(-scores, top - 1, axis=1)[:, top - 1])
+                q, x = np.nonzero(scores >= least_kept[:, None])
+                at = np.array([i for i, _ in some])[x]
+                yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in q], keys), part.column(0).take(pa.array(at)), pa.array(scores[q, x])], names=names)
+
+    return run
 
 
 def fused(channels: dict[str, DataFrame], query_key: str, key: str, limit: int, document: str | None = None) -> DataFrame:
