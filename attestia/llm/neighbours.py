@@ -24,7 +24,7 @@ from attestia.session import written
 
 #: Rows the centres are fitted on, and rows a shard aims at and may hold.
 SAMPLE, SHARD_AIM, SHARD_MOST = 20_000, 4_000, 12_000
-DEGREE, BEAM, PROBES, ALPHA = 20, 32, 4, 1.2
+DEGREE, BEAM, PROBES, ALPHA = 20, 40, 7, 1.2
 
 
 def usable(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
