@@ -3,7 +3,7 @@
 Texts are cut into passages. A passage and every labelled example are TF-IDF vectors over words, word
 pairs and, in scripts without spaces, character pairs, after spellings meant to evade filters are undone
 (look-alikes, digits for letters, letters set apart, stretched letters). Document frequencies are counted
-over the whole corpus. The k most similar examples are found exactly through an inverted index with
+over the whole corpus; numbers count as one word, every other word as itself. The k most similar examples are found exactly through an inverted index with
 block maxima, which skips blocks that cannot reach the k-th best. A passage's score is the
 similarity-weighted vote of these examples; a text's score is that of its worst passage, with the
 example as evidence.
@@ -41,10 +41,15 @@ def make_passages():
     mixed = re.compile(r"(?<![^\W_])(?=[\w@$!]*[A-Za-z])(?=[\w@$!]*[0-9@$])[\w@$!]*[\w@$]")
     stretched = re.compile(r"([^\W\d_])\1{2,}")
     runs = re.compile(r"[぀-ヿ㐀-鿿]+|[^\W_぀-ヿ㐀-鿿]+")
-    name = re.compile(r"(?:[bdfgklmnprstvz][aeiou]){3,}")
+
+    own = re.compile(r"(?<![^\W_])[Ͱ-ӿ]{2,}(?![^\W_])")
+
+    def lowered(m: re.Match) -> str:
+        # Capitals of a Greek or Cyrillic word aren't drawn like its small letters; one drawn wholly Latin is in disguise.
+        return m.group() if fold(m.group()).isascii() else m.group().lower()
 
     def words(text: str) -> list[str]:
-        text = fold(text)
+        text = fold(text if text.isascii() else own.sub(lowered, text))
         text = apart.sub(lambda m: re.sub(r"[\s.*_-]", "", m.group()), text)
         text = mixed.sub(lambda m: m.group().translate(SIGNS), text).lower()
         return runs.findall(stretched.sub(r"\1", text))
@@ -60,7 +65,7 @@ def make_passages():
                     out += [w[i : i + 2] for i in range(len(w) - 1)] or [w]
                     last = "^"
                     continue
-                if name.fullmatch(w) or w.isdigit():
+                if w.isdigit():
                     w = "#"
                 else:
                     out.append(w)

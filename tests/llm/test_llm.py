@@ -202,6 +202,16 @@ def test_abuse_search_is_exact_and_forms_are_undone(spark):
     assert sorted(x for x, hit, _ in got if hit) == [1, 5] and len(got) == 6
 
 
+def test_abusive_words_of_any_shape_count(spark):
+    features = [f for p in abuse.make_passages()("Salope, tarado, degenerate parasite, 12.") for f in p]
+    assert {"salope", "tarado", "degenerate", "parasite"} <= set(features) and "12" not in features
+    samples = [(1, "The mayor is a parasite.", 1), (2, "The mayor is a potato.", 0), (3, "You are a salope.", 1), (4, "You are a camera.", 0), (5, "The harbour opened in spring.", 0)]
+    docs = [(1, "The mayor is a parasite"), (2, "The mayor is a potato"), (3, "You are a sаlope"), (4, "You are a camera")]
+    got = abuse.scores(spark.createDataFrame(docs, "doc_id int, text string"), "doc_id", "text", spark.createDataFrame(samples, "sample_id bigint, text string, is_abusive int")).collect()
+    s = {r.doc_id: r.score for r in got}
+    assert min(s[1], s[3]) >= abuse.THRESHOLD > max(s[2], s[4])
+
+
 def test_bands_and_bounds():
     bands = nearpass._bands(5000)
     assert all(a < b for a, b in zip(bands, bands[1:])) and bands[0] == 1
