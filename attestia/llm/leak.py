@@ -66,7 +66,7 @@ class Items:
         self.grams = dict(self.grams)
 
     def regions(self, text: str) -> Iterator[tuple[int, int, int, int]]:
-        """(item, start, end, edits) of the item windows found in *text*; overlapping windows are joined."""
+        """(item, start, end, edits) of the item windows found in *text*, each once with the least edits of all its places."""
         if len(text) < Q:
             return
         letters = text.casefold() if text.isascii() and text.isalnum() else stream(text)[0]
@@ -80,21 +80,23 @@ class Items:
                     # Bands overlap by half: a band spans two widths.
                     bands[key, band].append((i, j))
                     bands[key, band - 1].append((i, j))
-        done = set()
+        found: dict[tuple[int, int, int], int] = {}
         for (key, band), hits in bands.items():
             item, windows, budget, least = self.items[key]
             if len({j for _, j in hits}) < least:
                 continue
             low, high = min(j for _, j in hits), max(j for _, j in hits) + Q
             for a, b in windows:
-                if b <= low or a >= high or (key, a) in done:
+                known = found.get((key, a, b), budget + 1)
+                if b <= low or a >= high or not known:
                     continue
                 if sum(a <= j and j + Q <= b for _, j in hits) < b - a + 1 - Q * (budget + 1):
                     continue
                 cost = self.align(letters, item[a:b], band * (budget + 1) + a, 2 * (budget + 1), budget)
-                if cost is not None:
-                    done.add((key, a))
-                    yield key, a, b, cost
+                if cost is not None and cost < known:
+                    found[key, a, b] = cost
+        for (key, a, b), cost in found.items():
+            yield key, a, b, cost
 
     @staticmethod
     def align(text: str, window: str, first: int, width: int, budget: int) -> int | None:

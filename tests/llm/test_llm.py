@@ -185,6 +185,15 @@ def test_leaks(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1), (4, 1), (5, 2)}
 
 
+def test_exact_copy_after_an_edited_one(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    once, twice = item.replace("five", "fife"), item.replace("five", "fyfe").replace("nine", "nyne")
+    texts = [f"{once} and then {item}", f"{twice} or {once}", f"{item} and then {once}", once]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [(r.doc_id, r.edits) for r in leak.leaked(docs, "doc_id", "text", spark.createDataFrame([(1, "en", item)], "item_id bigint, lang string, text string")).collect()]
+    assert sorted(got) == [(0, 0), (1, 1), (2, 0), (3, 1)]
+
+
 def test_abuse_search_is_exact_and_forms_are_undone(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(40)]
