@@ -3,7 +3,8 @@
 Equivalence-class template deduction: a page is its lines, and lines (digits and the site's own name
 masked) of one host that occur on exactly the same pages form a class. Classes with enough support are
 the host's template; they nest by position, and what lies between template lines are slots. The slot of
-the article is kept; slots opened by a "related" or "most read" line hold teasers. Hosts with too few
+the article is kept; slots opened by a "related" or "most read" line, and lists of titles below an
+advertisement's label or between template lines, hold teasers. Hosts with too few
 pages to deduce anything fall back on the phrases below, which also name the kind of a slot.
 
 Support counts distinct stories (the longest line of a page), so a story printed on several pages does
@@ -66,14 +67,16 @@ no part of this page may be copied without .*|nachdruck, auch auszugsweise.*|tou
 all opinions are those of the authors.*|.{0,80}opinions are those of .*
 """
 # Lines that open a list of teasers.
-RELATED = r"related( articles| stories)?|trending( now)?|most (read|popular)|you may also like|more from .{2,40}|read (more|next|also)|recommended.{0,20}|mehr (zum thema|von .{2,40})|das könnte sie( auch)? interessieren|meistgelesen|auch interessant|à lire aussi|sur le même (thème|sujet)|les plus lus|plus de .{2,40}|相关(阅读|文章|报道)|热门(文章|阅读)|猜你喜欢|(更多|来自).{2,30}"
+RELATED = r"related( articles| stories)?|trending( now)?|most (read|popular)|you may also like|more from .{2,40}|read (more|next|also)|recommended.{0,20}|mehr (zum thema|von .{2,40})|das könnte sie( auch)? interessieren|meistgelesen|auch interessant|à lire aussi|sur le même (thème|sujet)|les plus lus|plus de .{2,40}|相关(阅读|文章|报道)|热门(文章|阅读)|猜你喜欢|(更多|来自).{2,30}|sponsored( content| stories)?|gesponsert(e inhalte)?|(contenu )?sponsorisé|赞助内容"
+# Labels of an advertisement; titles below one are teasers where there are several, a single one may be the article's subheading.
+LABELS = r"advertisement|anzeigen?|werbung|publicité|annonce|广告"
 _BREAK = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
 
 
 def make_judge():
     """not_body(lines, flags) -> numbers (from 1) of the non-blank lines that are not body."""
     furniture = re.compile("|".join(f"(?:{p})" for p in PHRASES.strip().split("\n")), re.I)
-    related = re.compile(RELATED, re.I)
+    related, label = re.compile(RELATED, re.I), re.compile(LABELS, re.I)
     separators = re.compile(r"\s*[|·•›»]\s*|\s+[/>]\s+|\s{2,}|\t")
     ends = re.compile(r"[.!?。！？…:：;；”\"」』)）]\s*$")
 
@@ -98,29 +101,33 @@ def make_judge():
         return all(furniture.fullmatch(p.strip().rstrip(".。！!")) or is_nav(p.strip().rstrip(".")) for p in parts)
 
     def headline(text: str) -> bool:
-        """A whole line without an end that is no subheading, list entry or clipped paragraph: a teaser."""
+        """A line without an end, as long as a title and no marked list entry: a teaser where it stands in a slot for them."""
         wide = sum(ch >= "\u2e80" for ch in text) * 2 > len(text)
         short, long = (14, 60) if wide else (24, 110)
-        return short < len(text) <= long and not ends.search(text) and not re.match(r"[-*•–]\s|\d+[.)]\s|What \w+ wants$|What happens next$", text)
+        return short < len(text) <= long and not ends.search(text) and not re.match(r"[-*•–]\s|\d+[.)]\s", text)
 
     def not_body(lines: list[str], flags: list[bool]) -> list[int]:
-        out, teasers, first = [], False, True
+        out: list[int] = []
+        teasers, bounded, labelled = False, False, False  # in a slot opened by a related line; below a template line; below a label
+        waiting: list[int] = []  # titles below a template line, teasers if another one closes their slot
         for n, line in enumerate(lines, 1):
             text = line.strip()
             if not text:
                 continue
             bare = text.rstrip(":： ")
-            if related.fullmatch(bare) and not ends.search(bare):
-                out.append(n)
-                teasers = True
-            elif is_nav(text) or is_furniture(text):
-                out.append(n)
-            elif flags[n - 1]:
-                out.append(n)
-            elif headline(text) and (teasers or len(lines) > 1):
+            opens = bool(related.fullmatch(bare) and not ends.search(bare))
+            if opens or is_nav(text) or is_furniture(text) or flags[n - 1]:
+                out += [*waiting, n]
+                teasers, bounded, labelled, waiting = teasers or opens, True, bool(label.fullmatch(bare)), []
+            elif headline(text) and teasers:
                 out.append(n)
+            elif headline(text) and bounded:
+                waiting.append(n)
+                if labelled and len(waiting) > 1:
+                    out += waiting
+                    teasers, waiting = True, []
             else:
-                teasers = False
+                teasers, bounded, waiting = False, False, []
         return out
 
     return not_body

@@ -133,6 +133,16 @@ def test_furniture():
     assert judge(page, [False] * len(page)) == [1, 2, 8, 9, 10, 11]
 
 
+def test_titles_are_teasers_only_in_a_slot():
+    judge = boilerplate.make_judge()
+    body = ["Harbour closed after the long winter storms", "The harbour closed.", "What the mayor of Oz had promised", "The mayor said nothing.", "Repairs of the lower northern railway", "Lamps for the eastern fish market", "All of it was paid."]
+    assert judge(body, [False] * 7) == []
+    page = [*body, "Sponsored", "Mayor sold upper railway in Dalozovo", "It ends here.", "Advertisement", "What the harbour trust was told", "They met again.", "Advertisement", "Mayor sold upper railway in Oz", "Baker lost the eastern lamp in Oz", "Well."]
+    assert judge(page, [False] * len(page)) == [8, 9, 11, 14, 15, 16]
+    assert judge(["A title between two template lines", "Owned", "A body."], [False] * 3) == []
+    assert judge(["Site header", "A title between two template lines", "Owned", "A body."], [True, False, True, False]) == [1, 2, 3]
+
+
 def test_templates_by_class(spark):
     rows = []
     for n in range(6):
