@@ -166,10 +166,13 @@ def _patterns():
         rf"(?:(?P<gap>[\s-]{{0,2}})(?:{unit}))?"
     )
     tail = re.compile(rf"(?:\s|,\s| and |又)?(?P<n>\d+(?:[.,]\d+)?[½¼¾]?)\s?(?:{unit})")
-    begin = re.compile(rf"{money}|minus |零下|负|[-−–](?=\d)|\d|[½¼¾]|(?<![A-Za-z-])(?:{en})(?![a-rt-x])|(?<![A-Za-zÀ-ÿ-])(?=[enzdvfsah])(?:{de_part}|hundert|tausend)|[零〇一二两三四五六七八九十百千半]")
+    # Where a number may begin. Every amount has such a place, so texts without one are passed over.
+    firsts = "".join(sorted({w[0] for w in _DE} | set("ht")))
+    start = rf"\d|[½¼¾]|(?<![A-Za-z-])(?:{en})(?![a-rt-x])|(?<![A-Za-zÀ-ÿ-])(?=[{firsts}])(?:{de_part}|hundert|tausend)|[零〇一二两三四五六七八九十百千半]"
+    begin, maybe = re.compile(rf"{money}|minus |零下|负|[-−–](?=\d)|{start}"), re.compile(rf"{start}|[万亿]")
     header = re.compile(rf"(?:\((?P<a>{plain_unit})\)|\[(?P<b>{plain_unit})\]|, (?P<c>{plain_unit})| in (?P<d>{plain_unit}))\s(?:of|von|der|des)\s[^.:\n]{{1,90}}?:\s?(?P<s>{sign})(?P<n>{number})")
     one = re.compile(rf"(?:{unit})")
-    return spelled, begin, amount, tail, header, one
+    return spelled, maybe, begin, amount, tail, header, one
 
 
 _GERMAN = re.compile(r"\b(?:der|die|das|dem|den|und|liegt|fasst|zahlte|verbrauchte|erreichte|wiegt|belegt|umfasst|vom|für|lang|hoch|bei|mit|ist|wurde|auf|ein|eine|von|im|am|wie|bis)\b")
@@ -180,8 +183,7 @@ _COMPOUNDS = {"foot": {"inch"}, "pound": {"ounce"}, "yard": {"foot", "inch"}, "m
 
 def make_finder():
     """amounts(text) -> list of (unit, value as Fraction); a range gives both ends, a compound one value in its smaller unit."""
-    fold, (spelled, begin, amount, tail, header, one), ways = make_fold(), _patterns(), conversions({"length": "millimetre", "mass": "gram", "volume": "millilitre", "money": "fen", "area": "square metre"})
-    maybe = re.compile("|".join([r"\d", "[½¼¾零一二两三四五六七八九十百]", r"\b(?:" + "|".join(_EN) + ")", "zig|hundert|zehn|zwei|drei|vier|fünf|acht|neun|elf|zwölf"]))
+    fold, (spelled, maybe, begin, amount, tail, header, one), ways = make_fold(), _patterns(), conversions({"length": "millimetre", "mass": "gram", "volume": "millilitre", "money": "fen", "area": "square metre"})
 
     def german(text: str, at: int, end: int) -> bool:
         around = text[max(0, at - 70) : end + 50]
@@ -214,9 +216,8 @@ def make_finder():
         return spelled.get(match.lastgroup) if match.lastgroup and match.lastgroup in spelled else next((spelled[k] for k, v in match.groupdict().items() if v and k in spelled), None)
 
     def amounts(text: str | None) -> list[tuple[str, Fraction]]:
-        if not text or not maybe.search(text):
+        if not text or not maybe.search(text := fold(text)):
             return []
-        text = fold(text)
         out, at = [], 0
         for h in header.finditer(text):
             name = h["a"] or h["b"] or h["c"] or h["d"]

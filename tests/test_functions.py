@@ -70,3 +70,19 @@ def test_conversions_agree_and_conflicts_are_found():
 ])
 def test_amounts(text, found):
     assert [(u, float(v)) for u, v in U.make_finder()(text)] == [(u, float(v)) for u, v in found]
+
+
+@pytest.mark.parametrize("text, unit", [("Die Brücke ist sechs Meter lang.", "metre"), ("Der Sack wiegt sieben Kilogramm.", "kilogram"), ("半公斤", "kilogram"), ("Er trank tausend Liter.", "litre"), ("Das Gleis misst 3 Fuß, der Tank fasst tausend Liter.", "litre"), ("A reel of ninе metres", "metre")])
+def test_amounts_in_number_words_alone(text, unit):
+    assert unit in [u for u, _ in U.make_finder()(text)]
+
+
+def test_texts_passed_over_have_no_amount():
+    names = {"en": ("metres", U._EN, ["two hundred", "one thousand"]), "de": ("Meter", U._DE, ["hundert", "tausend", "zweihundert", "tausendsechs"]), "zh": ("米", U._ZH, [*"十百千万亿半", "三百", "百万"])}
+    spelled, maybe, begin, amount, *_ = U._patterns()
+    find = U.make_finder()
+    for lang, (unit, words, more) in names.items():
+        for w in [*words, *more]:
+            text = w + ("" if lang == "zh" else " ") + unit
+            assert maybe.search(text), text
+            assert find(text) or w in ("百", "千", "万", "亿"), text
