@@ -3,8 +3,11 @@
 Every place where a sentence may end carries a hidden event, boundary or none. A hidden-event n-gram
 model scores the event with the token to its left, the class of the token to its right and the event
 before it; forward-backward posteriors over each line decide. Places in scripts without marks (spaces
-of Thai) are events like the others. The model starts from pseudo-counts for the fixed values below and
-is re-estimated once on all texts (a table of BINS x classes, whatever the corpus).
+of Thai) are events like the others. The model starts from fixed rates for the classes below and learns
+from all texts, in one pass: how much rarer a boundary is after each token than after others of its
+class, by what follows the token anywhere (an abbreviation that no list has is often seen before lower
+case), and how events follow each other. Of the tokens only those seen before a continuation are
+collected, in at most BINS bins, whatever the corpus.
 
 Defined results: null and blank texts have no sentence; repeated rows give their spans once; a line
 break always ends a sentence; texts of any length are processed whole.
@@ -22,7 +25,11 @@ from pyspark.sql import functions as F
 
 from attestia.functions.fold import make_fold
 
-BINS = 4096
+BINS = 1 << 18
+#: Weight of a class against the counts of one token, and share of texts that break the rules of writing.
+PRIOR, NOISE = 4.0, 0.02
+#: What follows a token where no sentence ends.
+CONTINUED = ("lower", "dash", "month")
 # Tokens before a full stop that a sentence does not end on.
 NEVER = set(
     "dr prof st mr mrs ms mme mlle sr sra srta dra don dña sen gen col capt lt sgt rev hon no nr nos fig figs vs ca approx incl e.g i.e cf al vol ch sec eq pp p pág págs art núm ej "
@@ -179,8 +186,8 @@ def events(text: str, a: int, b: int) -> list[tuple[int, str, int, str]]:
     return sorted(out)
 
 
-# Pseudo-counts of P(boundary | left class, right class), the model's start.
-def seeds() -> dict[tuple[str, str], tuple[float, float]]:
+# P(boundary | left class, right class), the model's start.
+def seeds() -> dict[tuple[str, str], float]:
     table = {}
     for left in LEFT:
         for right in RIGHT:
@@ -193,32 +200,60 @@ def seeds() -> dict[tuple[str, str], tuple[float, float]]:
                     p = 0.6
             if right == "end":
                 p = 0.999
-            table[left, right] = (100 * p, 100 * (1 - p))
+            table[left, right] = p
     return table
 
 
+def odds(p: float) -> float:
+    return p / (1 - p)
+
+
 class EventModel:
-    """P(event | left token, right class) with back-off to classes, and P(event | event before)."""
+    """P(event | left class, token, right class), and how much likelier an event is after the event before.
 
-    def __init__(self, counts: dict[tuple[int, str, str], tuple[float, float]] | None = None):
-        self.start, self.counts = seeds(), counts or {}
-        # A boundary follows a boundary or none at much the same rate; the chain only smooths.
-        self.step = {(0, 0): 0.5, (0, 1): 0.5, (1, 0): 0.48, (1, 1): 0.52}
+    *ratios*: (left class, bin) -> odds of a boundary after the token against its class; *step*: (event
+    before, event) -> its rate against the event's rate anywhere.
+    """
+
+    def __init__(self, ratios: dict[tuple[str, int], float] | None = None, step: dict[tuple[int, int], float] | None = None):
+        self.start, self.ratios = seeds(), ratios or {}
+        self.step = step or {(s, t): 1.0 for s in (0, 1) for t in (0, 1)}
 
     def emit(self, left: str, code: int, right: str) -> float:
-        b, n = self.start[left, right]
-        if left in ("stop", "may"):
-            x, y = self.counts.get((code, left, right), (0.0, 0.0))
-            b, n = b + min(x, 50.0), n + min(y, 50.0)
-        return b / (b + n)
+        p = self.start[left, right]
+        ratio = self.ratios.get((left, code)) if right != "end" else None
+        return p if ratio is None else (x := odds(p) * ratio) / (1 + x)
+
+    @staticmethod
+    def learn(totals: dict[tuple[str, str], float], tokens: dict[tuple[str, int], dict[str, float]], pairs: dict[tuple[int, int], float]) -> EventModel:
+        """From counts by (left, right) of all tokens, by right class of single ones, and expected pairs of neighbouring events."""
+        start, ratios = seeds(), {}
+        for left in ("stop", "may"):
+            seen = {r: n for (x, r), n in totals.items() if x == left and r != "end"}
+            if not sum(seen.values()):
+                continue
+            rate = (PRIOR + sum(n * start[left, r] for r, n in seen.items())) / (2 * PRIOR + sum(seen.values()))
+            for (x, code), counts in tokens.items():
+                if x != left:
+                    continue
+                counts, ratio = {r: n for r, n in counts.items() if n and r != "end"}, 1.0
+                for _ in range(20):
+                    b = sum(n * (y := odds(start[left, r]) * ratio) / (1 + y) for r, n in counts.items())
+                    p = (b + PRIOR * rate) / (sum(counts.values()) + PRIOR)
+                    ratio = odds(NOISE + (1 - 2 * NOISE) * p) / odds(NOISE + (1 - 2 * NOISE) * rate)
+                ratios[left, code] = round(ratio, 6)
+        whole = sum(pairs.values()) + 4 * PRIOR
+        p = {k: (pairs.get(k, 0.0) + PRIOR) / whole for k in ((0, 0), (0, 1), (1, 0), (1, 1))}
+        step = {(s, t): round(p[s, t] / ((p[s, 0] + p[s, 1]) * (p[0, t] + p[1, t])), 6) for s, t in p}
+        return EventModel(ratios, step)
 
     def posteriors(self, places: list[tuple[int, str, int, str]]) -> list[float]:
         if not places:
             return []
         e = [self.emit(*p[1:]) for p in places]
-        alpha, prev = [], (0.5, 0.5)
+        alpha, prev = [], None
         for p in e:
-            now = [(1 - p) * sum(prev[s] * self.step[s, 0] for s in (0, 1)), p * sum(prev[s] * self.step[s, 1] for s in (0, 1))]
+            now = [1 - p, p] if prev is None else [(1 - p) * sum(prev[s] * self.step[s, 0] for s in (0, 1)), p * sum(prev[s] * self.step[s, 1] for s in (0, 1))]
             z = sum(now)
             prev = (now[0] / z, now[1] / z)
             alpha.append(prev)
@@ -261,35 +296,43 @@ def spans(text: str, model: EventModel) -> list[tuple[int, int]]:
 
 
 def _expect(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts by bin, left and right class; bin -1 is all tokens, bin -2 expected pairs of neighbouring events."""
     model = EventModel()
     for part in parts:
-        total: dict[tuple[int, str, str], list[float]] = {}
+        total: dict[tuple[int, str, str], float] = {}
         for text in part.column(0).to_pylist():
             text = text.strip()
             for a, b in lines(text):
-                places = events(text, a, b)
-                for (_, left, code, right), p in zip(places, model.posteriors(places)):
+                before = None
+                for _, left, code, right in events(text, a, b):
                     if left in ("stop", "may"):
-                        t = total.setdefault((code, left, right), [0.0, 0.0])
-                        t[0] += p
-                        t[1] += 1 - p
-        rows = [(*k, *v) for k, v in total.items()]
-        cols = list(zip(*rows)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.float64())], names=["code", "left", "right", "b", "n"])
+                        for k in ((code, left, right), (-1, left, right)):
+                            total[k] = total.get(k, 0.0) + 1
+                    p = model.emit(left, code, right)
+                    if before is not None:
+                        for k, n in (("00", (1 - before) * (1 - p)), ("01", (1 - before) * p), ("10", before * (1 - p)), ("11", before * p)):
+                            total[-2, "", k] = total.get((-2, "", k), 0.0) + n
+                    before = p
+        cols = list(zip(*((*k, n) for k, n in total.items()))) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.float64())], names=["code", "left", "right", "n"])
 
 
 def train(texts: DataFrame, text: str) -> EventModel:
-    """One expectation step over all texts; at most BINS x 2 x len(RIGHT) rows reach the driver."""
-    rows = texts.select(text).filter(F.col(text).isNotNull()).mapInArrow(_expect, "code int, left string, right string, b double, n double").groupBy("code", "left", "right").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).collect()
-    return EventModel({(r["code"], r["left"], r["right"]): (round(r["b"], 6), round(r["n"], 6)) for r in rows})
+    """The model learnt from all texts; of at most 2 x BINS bins those seen before a continuation reach the driver."""
+    found = texts.select(text).filter(F.col(text).isNotNull()).mapInArrow(_expect, "code int, left string, right string, n double").groupBy("code", "left", "right").agg(F.sum("n").alias("n"))
+    rows = found.groupBy("code", "left").agg(F.map_from_entries(F.collect_list(F.struct("right", "n"))).alias("counts")).filter((F.col("code") < 0) | F.arrays_overlap(F.map_keys("counts"), F.lit(list(CONTINUED)))).collect()
+    totals = {(r["left"], k): n for r in rows if r["code"] == -1 for k, n in r["counts"].items()}
+    pairs = {(int(k[0]), int(k[1])): round(n, 3) for r in rows if r["code"] == -2 for k, n in r["counts"].items()}
+    return EventModel.learn(totals, {(r["left"], r["code"]): r["counts"] for r in rows if r["code"] >= 0}, pairs)
 
 
 def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, char_start, char_end): the sentences of every text without its outer white space."""
-    counts = df.sparkSession.sparkContext.broadcast(train(df, text).counts)
+    learnt = train(df, text)
+    shipped = df.sparkSession.sparkContext.broadcast((learnt.ratios, learnt.step))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = EventModel(counts.value)
+        model = EventModel(*shipped.value)
         for part in parts:
             keys, starts, ends = [], [], []
             for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):

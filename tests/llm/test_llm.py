@@ -101,6 +101,21 @@ def test_sentences(spark):
     assert {k for k, _, _ in got} == set(range(len(cases)))
 
 
+def test_unlisted_abbreviations_are_learnt(spark):
+    texts = [f"The {w} sqdn. of the coast left." for w in ("old new first last green grey red blue small large north south east west lost found brave quiet loud late".split())]
+    texts += ["They met sqdn. Oz at the mill.", "He left the mill. Then she came.", "They saw the mill. Nobody spoke.", "She left. " * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {(r.k, texts[r.k][r.char_start : r.char_end]) for r in sentences.sentences(df, "k", "t").collect()}
+    assert {t for k, t in got if k == 20} == {"They met sqdn. Oz at the mill."}
+    assert {t for k, t in got if k in (21, 22)} == {"He left the mill.", "Then she came.", "They saw the mill.", "Nobody spoke."}
+    model = sentences.train(df, "t")
+    assert model.step[1, 1] != 1.0 and sentences.spans(texts[20], sentences.EventModel())[0] == (0, 14)
+    # An event pair seen often makes a doubtful place more likely.
+    chained = sentences.EventModel(None, {(0, 0): 1.5, (0, 1): 0.5, (1, 0): 0.5, (1, 1): 1.5})
+    places = [(5, "stop", 1, "upper"), (9, "may", 2, "digit")]
+    assert chained.posteriors(places)[1] > sentences.EventModel().posteriors(places)[1]
+
+
 def test_posteriors_are_probabilities():
     model = sentences.EventModel()
     places = sentences.events("He left. She came at 3. They met Dr. Who. End", 0, 45)
