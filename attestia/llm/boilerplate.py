@@ -1,11 +1,12 @@
 """Lines of web pages that are not part of the main body.
 
-Equivalence-class template deduction: a page is its lines, and lines (digits and the site's own name
-masked) of one host that occur on exactly the same pages form a class. Classes with enough support are
-the host's template; they nest by position, and what lies between template lines are slots. The slot of
-the article is kept; slots opened by a "related" or "most read" line, and lists of titles below an
-advertisement's label or between template lines, hold teasers. Hosts with too few
-pages to deduce anything fall back on the phrases below, which also name the kind of a slot.
+Template deduction by equivalence classes: a page is its lines, and lines (digits and the site's own name
+masked) of one host that occur on exactly the same pages form a class. Lines of classes with enough support
+are the host's template. Classes are not checked for one order of their lines and not nested by position,
+and no article slot is extracted: what no template line, phrase or teaser slot covers is body. Slots opened
+by a "related" or "most read" line, and lists of titles below an advertisement's label or between template
+lines, hold teasers. Hosts with too few pages to deduce anything fall back on the phrases below, which also
+name the kind of a slot.
 
 Support counts distinct stories (the longest line of a page), so a story printed on several pages does
 not make its own lines a template. All counting is by aggregation on (host, line); nothing is collected.
@@ -27,8 +28,6 @@ from attestia.session import written
 from .shared import map_words
 
 MIN_STORIES = 4
-#: A template line is no longer than this; body lines are judged by what they are.
-LONGEST = 240
 
 # Words of navigation bars (en, de, fr, zh).
 NAV = set(
@@ -170,13 +169,13 @@ def furniture_lines(pages: DataFrame) -> DataFrame:
     longest = F.array_max(F.transform(split, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     cut = written(
         many.withColumn("page", F.xxhash64("record_kind", "record_key", "text")).withColumn("story", F.xxhash64(longest))
-        .withColumn("tokens", F.transform(split, lambda x: F.when((F.length(x) > 0) & (F.length(x) <= LONGEST), F.concat(F.col("host"), F.lit("\x1f"), mask(x))))),
+        .withColumn("tokens", F.transform(split, lambda x: F.when(F.length(x) > 0, F.xxhash64("host", mask(x))))),
         "pages",
     )
     exploded = cut.select("host", "page", "story", F.explode(F.filter("tokens", lambda t: t.isNotNull())).alias("line")).filter("host <> ''")
     # A line that is its page's longest is its story, not its template.
     known = template_lines(exploded).select("line", F.lit(True).alias("is"))
-    flags = map_words(cut.select("page", "tokens").dropDuplicates(["page"]).select("page", F.transform("tokens", lambda t: F.coalesce(t, F.lit(""))).alias("tokens")), "page", "tokens", known, "line", "is", "flags")
+    flags = map_words(cut.select("page", "tokens").dropDuplicates(["page"]).select("page", F.transform("tokens", lambda t: F.coalesce(t, F.lit(0).cast("bigint"))).alias("tokens")), "page", "tokens", known, "line", "is", "flags")
     decided = cut.select("page", "record_kind", "record_key", "text").join(flags, "page").select("record_kind", "record_key", "text", "flags")
     single = src.filter(~F.contains("text", F.lit("\n"))).select("record_kind", "record_key", "text", F.lit(None).cast("array<boolean>").alias("flags"))
     return decided.unionByName(single).mapInArrow(_decide, "record_kind string, record_key string, line_no bigint").distinct()

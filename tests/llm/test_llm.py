@@ -168,6 +168,15 @@ def test_templates_by_class(spark):
     assert got == {(f"s{n}", k) for n in range(6) for k in (1, 3, 4)}
 
 
+def test_long_template_paragraphs_and_long_bodies(spark):
+    legal = "This notice of the harbour trust is printed below every page and " + "names the ropes and lamps of the trust, " * 8 + "and ends."
+    body = "A story is told here over and over, " * 12
+    rows = [(f"s{n}", "https://a.example/x", "A Post", f"{body} and its name is {'abcdef'[n]}.\n{legal}\nOwned by the harbour trust") for n in range(6)]
+    rows += [(f"r{n}", "https://c.example/x", "C Post", f"{body} reprinted whole.\nA short end that each copy has.") for n in range(6)]
+    df = spark.createDataFrame(rows, "record_key string, url string, publisher string, text string").withColumn("record_kind", F.lit("search_result"))
+    assert len(legal) > 240 and {(r.record_key, r.line_no) for r in boilerplate.furniture_lines(df).collect()} == {(f"s{n}", k) for n in range(6) for k in (2, 3)}
+
+
 def test_lookalikes_equal_table(spark):
     rows = [("a", "1", "The оpened gate"), ("a", "2", "The opened gate "), ("a", "3", "the opened gate"), ("a", "4", "The opened gate"), ("b", "5", "The o​pened gate"), ("a", "6", None), ("a", "7", " "), ("a", "8", "Почему молчит"), ("a", "9", "Почeмy молчит"), ("a", "10", "Почему молчит"), ("a", "2", "The opened gate")]
     got = {tuple(r) for r in canon.lookalike_pairs(spark.createDataFrame(rows, "record_kind string, record_key string, text string").withColumn("form", F.lit(1))).collect()}
