@@ -1,10 +1,10 @@
 """One spelling for texts that look the same.
 
-A weighted edit automaton walks the tries of the corpus vocabulary: reading a look-alike, an
-ignorable or a piece of a ligature costs 0, everything else is beyond the budget. All vocabulary
-spellings an input reaches are one class. Its canonical spelling is the drawn form itself where that is
-of one script, else the spelling of one script that most texts use (ties: the smallest), else the form
-given by the character table; tokens without a vocabulary match are normalised by the table.
+Tokens are folded by the character table: a look-alike becomes the letter it is drawn like, an ignorable
+goes, a ligature becomes its pieces. A trie of the folded suspect tokens groups the vocabulary spellings
+that are drawn alike; no edit costs are weighed and nothing beyond the table matches. The canonical spelling
+is the drawn form itself where that is of one script, else the spelling of one script that most texts use
+(ties: the smallest), else the form given by the table.
 
 Only tokens that the table changes or that mix scripts can differ from their canonical spelling, so only
 those enter the vocabulary, counted over all texts. Replacements are shipped in blocks of bounded size;
@@ -55,13 +55,13 @@ def make_suspect(fold):
 
 
 class Trie:
-    """Vocabulary trie; edges are labelled with the form a character is drawn as."""
+    """Vocabulary trie over folded tokens; edges are labelled with the form a character is drawn as."""
 
     def __init__(self, fold):
         self.fold, self.root = fold, {}
 
     def walk(self, token: str, grow: bool) -> dict | None:
-        """The node that *token* reaches at cost 0: look-alikes follow one edge, ignorables stay, ligatures follow several."""
+        """The node of the folded *token*."""
         node = self.root
         for ch in self.fold(token):
             nxt = node.get(ch)
