@@ -44,15 +44,17 @@ def markdown_reports(spark, d):
 
 
 def imported_documents(spark, d):
-    """New uploads after rejecting bodies already stored: the library against itself gives none, so its first half is stored."""
+    """New uploads after rejecting bodies already stored: the library against itself gives none, so the ids below a fixed one, named in the SQL too, are stored: 50 at most."""
     docs = table(spark, d, "kb_documents").select("document_id", "pages").distinct()
     known = docs.filter("document_id < 'kbd_0000000050'").withColumn("content_hash", F.sha2(F.to_json("pages"), 256))
     return sinks.import_documents(known, docs).select("document_id")
 
 
 def readable_results(spark, d):
-    """Search results wrapped in markup, read back as text."""
-    r = table(spark, d, "search_results").filter("content IS NOT NULL").select("result_id", F.concat(F.lit("<script>x()</script><p>"), F.replace(T.markdown_escaped(F.col("title")), F.lit("\\"), F.lit("")), F.lit("</p>")).alias("html")).distinct()
+    """Title and whole content of search results wrapped in markup, read back as text."""
+    shown = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    html = F.concat(F.lit("<script>x()</script><h1>"), shown(F.col("title")), F.lit("</h1><p>"), F.replace(shown(F.col("content")), F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+    r = table(spark, d, "search_results").filter("content IS NOT NULL").select("result_id", html.alias("html")).distinct()
     return r.select("result_id", F.length(readable_text("html")).alias("n"))
 
 

@@ -1,5 +1,6 @@
 from attestia.functions import claims as C
 from attestia.operators import extraction as X
+from attestia.plans import moving
 
 
 def test_statements_are_exact_slices():
@@ -32,3 +33,10 @@ def test_citations(spark):
     want = spark.createDataFrame([(1, "A Study of Mills", ["Ann Lee"], 1999, None), (2, "Other", None, None, None), (3, "None", None, None, None)], "citation_id int, title string, authors array<string>, year int, doi string")
     rec = spark.createDataFrame([(1, 1, "Unlike", None, None, None), (1, 2, "A study of mills.", ["B. Lee"], 1999, "10.1/x"), (2, 1, "Different thing", None, None, None)], "citation_id int, ord int, title string, authors array<string>, year int, doi string")
     assert {r.citation_id: (r.status, r.record_no) for r in X.citation_checks(want, rec).collect()} == {1: ("found", 1), 2: ("not_found", 0), 3: ("uncertain", None)}
+
+
+def test_readable_results_read_the_whole_content(spark, tmp_path):
+    rows = [("r1", "A & B", "First <line> of it.\n\nSecond \\ line."), ("r1", "A & B", "First <line> of it.\n\nSecond \\ line."), ("r2", None, "Only this"), ("r3", "No content", None)]
+    spark.createDataFrame(rows, "result_id string, title string, content string").write.parquet(f"{tmp_path}/search_results.parquet")
+    got = sorted(tuple(r) for r in moving.readable_results(spark, str(tmp_path)).collect())
+    assert got == [("r1", len("A & B\nFirst <line> of it.\nSecond \\ line.")), ("r2", len("Only this"))]
