@@ -9,7 +9,9 @@ within k differences agree on some segments: if a probing set gives segment i th
 {-1, 0, 1} and the sum of (e_i + 1) exceeds k, then some segment differs by at most e_i. The index
 holds every segment of every set and its one-deletion neighbours; the probing side spends its budget
 where the expected posting lists are shortest, estimated from corpus-wide element counts (a table of
-fixed size). Candidates pass a 128-bit parity sketch, then an exact check. Nothing is capped.
+fixed size). A set travels once to a bucket, with its sketch and a 32-bit signature for each segment and
+neighbour; lists are met and sketches compared there. Candidates pass a 128-bit parity sketch, then an
+exact check. Nothing is capped.
 
 Texts with the same words form one class before the join; copies are never compared with each other.
 Defined results: null, blank and wordless texts belong to no class; repeated rows count once; a text
@@ -21,7 +23,6 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,14 +30,16 @@ from pyspark.sql import functions as F
 from attestia.session import written
 
 from attestia.functions.fold import make_fold
-from .shared import pairs_within
+from .shared import HOT_GROUP, SALTS, pairs_within
 
 #: Bins of the element counts.
 COUNT_BINS = 1 << 16
-#: Buckets of the signature filter, and the least and most bits of its bitmap (at most 64 MB, whatever the corpus).
-BUCKETS, LEAST_BITS, MOST_BITS = 64, 1 << 22, 1 << 29
+#: Signatures that a task of the join aims at.
+TASK_SIGNATURES = 4_000_000
 #: Rows that may be broadcast (16 bytes each); beyond that the joins shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Pairs compared at once.
+CHUNK = 2_000_000
 
 
 def make_words():
@@ -133,12 +136,16 @@ def _allowed(large: int, small: int, share: Fraction) -> int:
     return small + large - 2 * need
 
 
-#: Ratio of neighbouring size bands: the narrower, the tighter the bound on the differences and the more bands a set probes.
-RATIO = 1.12
+#: Ratio of neighbouring size bands. At 1 / share a set's partners lie in its own band and the one below.
+RATIO = 1.25
+#: Kinds of a row's signatures: a segment that is not probed, probed exactly, probed with one difference; a
+#: segment less one element that only answers, and one that is probed as well.
+KINDS = FULL, FULL_EXACT, FULL_NEAR, LESS, LESS_NEAR = 0, 1, 2, 3, 4
+_ROWS = "bucket bigint, class bigint, size int, s0 bigint, s1 bigint, signatures array<int>"
 
 
 def _bands(longest: int, ratio: float = RATIO) -> np.ndarray:
-    """Lower ends of the size bands."""
+    """Lower ends of the size bands; the last lies beyond *longest*."""
     ends, at = [1], 1
     while at <= longest:
         at = max(at + 1, int(np.ceil(at * ratio)))
@@ -146,161 +153,149 @@ def _bands(longest: int, ratio: float = RATIO) -> np.ndarray:
     return np.array(ends)
 
 
-def _signatures(share: Fraction, costs: np.ndarray, spare: float, shipped=None, want=None):
-    """A function for mapInArrow over classes. Without *shipped*: sorted signature blobs (bucket, kind, blob) of all rows.
-    With the bitmap of repeated signatures: the (sig, class, size, s0, s1) rows of the index or the probing side that may meet another."""
+def _segments_of(codes, row, size, band, bands, share, log_cost, spare):
+    """(signature, set, kind) of every segment and every segment less one element, in the partition of each set's *band*."""
+    top = bands[band + 1] - 1
+    m = np.array([max(1, int(np.ceil((_allowed(int(t), int(t), share) + 1) / 2 * spare))) for t in top])
+    base = np.r_[0, np.cumsum(m)]
+    slot = base[row] + (_mix(codes ^ np.uint64(0x2545F4914F6CDD1D)) % m[row].astype(np.uint64)).astype(np.int64)
+    owner = np.repeat(np.arange(len(m)), m)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(owner), dtype=np.uint64)
+        np.add.at(total, slot, _mix(codes))
+        place = _mix((band[owner].astype(np.uint64) << np.uint64(40)) + (np.arange(len(owner)) - base[:-1][owner]).astype(np.uint64))
+        full, less = _mix(total + place), _mix(total[slot] - _mix(codes) + place[slot])
+    # Expected list lengths, from the elements' shares of all texts.
+    p = log_cost[(codes & np.uint64(COUNT_BINS - 1)).astype(np.int64)]
+    weight = np.zeros(len(owner))
+    np.add.at(weight, slot, p)
+    cost = np.exp2(weight)
+    near = cost * 4
+    np.add.at(near, slot, np.exp2(weight[slot] - p))
+    # Two units of budget a segment: the exact list, then what one difference adds. Cheapest first.
+    k = np.array([_allowed(int(s), int(min(s, t)), share) for s, t in zip(size, top)])
+    unit, who = np.r_[cost, np.maximum(near, cost)], np.r_[owner, owner]
+    order = np.lexsort((unit, who))
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order)) - 2 * base[:-1][who[order]]
+    taken = rank < (k + 1)[who]
+    near = taken[len(owner) :]
+    exact = taken[: len(owner)] | near
+    kinds = np.r_[np.where(near, FULL_NEAR, np.where(exact, FULL_EXACT, FULL)), np.where(near[slot], LESS_NEAR, LESS)]
+    return np.r_[full, less], np.r_[owner, row], kinds
+
+
+def _signatures(share: Fraction, costs: np.ndarray, spare: float, parts_of: dict[int, int]):
+    """A function for mapInArrow over classes: one row for each (class, bucket) with the signatures that meet there.
+
+    A bucket is a size band and, where the band has many signatures, a part of its signatures by hash. In its own
+    band a set answers and probes with the same signatures; below it only sends those it probes. The list starts
+    with 1 where the set answers (else 0) and the number of its signatures of each kind.
+    """
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = None if shipped is None else np.frombuffer(shipped.value, dtype=np.uint8)
-        bands = _bands(1 << 20, RATIO)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_cost = np.log2(np.maximum(costs, 1) / max(1.0, float(costs.max())))
-
-        def side(codes, row, size, band, probe, own):
-            """Rows of one side; band: by set, the band whose partition is used (-1: none)."""
-            top = bands[np.minimum(band + 1, len(bands) - 1)] - 1
-            k_band = np.array([_allowed(int(t), int(t), share) for t in top])
-            m = np.maximum(1, np.ceil((k_band + 1) / 2 * spare).astype(np.int64))
-            seg = (_mix(codes ^ np.uint64(0x2545F4914F6CDD1D)) % m[row].astype(np.uint64)).astype(np.int64)
-            base = np.r_[0, np.cumsum(m)]
-            slot = base[row] + seg
-            owner = np.repeat(np.arange(len(m)), m)
-            number = np.arange(len(owner)) - base[:-1][owner]
-            with np.errstate(over="ignore"):
-                total = np.zeros(len(owner), dtype=np.uint64)
-                np.add.at(total, slot, _mix(codes))
-                place = _mix((band[owner] * 100_003 + number).astype(np.uint64))
-                full, less = _mix(total + place), _mix(total[slot] - _mix(codes) + place[slot])
-            ones = lambda x: x ^ np.uint64(0xD6E8FEB86659FD93)  # the list of one-deletion neighbours
-            if not probe:
-                return [(INDEX, np.r_[full, ones(less)], np.r_[owner, row])]
-            # log2 of the expected list lengths, from the elements' shares of all texts.
-            p = log_cost[(codes & np.uint64(COUNT_BINS - 1)).astype(np.int64)]
-            weight = np.zeros(len(owner))
-            np.add.at(weight, slot, p)
-            cost0 = np.exp2(weight)
-            cost1 = cost0.copy()
-            np.add.at(cost1, slot, np.exp2(weight[slot] - p))
-            cost1 += cost0 * 4
-            k = np.array([_allowed(int(s), int(min(s, t)), share) for s, t in zip(size, top)])
-            # Two units of budget a segment: the exact list, then what one difference adds. Cheapest first.
-            unit = np.r_[cost0, np.maximum(cost1 - cost0, cost0)]
-            who = np.r_[owner, owner]
-            order = np.lexsort((unit, who))
-            rank = np.empty(len(order), dtype=np.int64)
-            rank[order] = np.arange(len(order)) - 2 * base[:-1][who[order]]
-            taken = rank < (k + 1)[who]
-            exact, near = taken[: len(owner)], taken[len(owner) :]
-            exact = exact | near
-            pick = near[slot]
-            # In its own band a set's exact probes are its own index rows as well.
-            return [(PROBE_OWN if own else PROBE, full[exact], owner[exact]), (PROBE, np.r_[ones(full[near]), less[pick]], np.r_[owner[near], row[pick]])]
-
-        held, waiting = {INDEX: [], PROBE_OWN: [], PROBE: []}, 0
-        for part in parts:
-            n = part.num_rows
+        for batch in batches:
+            n = batch.num_rows
             if not n:
                 continue
-            size = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            codes = part.column(4).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            size = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            codes = batch.column(4).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             row = np.repeat(np.arange(n), size)
+            bands = _bands(int(size.max()))
             own = np.searchsorted(bands, size, side="right") - 1
-            jobs = [(False, own, np.arange(n)), (True, own, np.arange(n))]
             # Partners below: every band between a set's own and that of its smallest partner.
             low = np.searchsorted(bands, [-((-share.numerator * int(s)) // share.denominator) for s in size], side="right") - 1
-            for down in range(1, int((own - low).max()) + 1):
-                below = np.flatnonzero(own - low >= down)
-                jobs.append((True, own[below] - down, below))
-            for probe, band, some in jobs:
-                if want is not None and probe != want:
-                    continue
-                if len(some) == n:
-                    c, r, s = codes, row, size
-                else:
-                    keep = np.isin(row, some)
-                    c, s = codes[keep], size[some]
-                    r = np.repeat(np.arange(len(some)), s)
-                for kind, sig, who in side(c, r, s, band, probe, band is own):
-                    if bitmap is None:
-                        held[kind].append(sig)
-                        waiting += len(sig)
-                        continue
-                    place = _place(sig, 8 * len(bitmap))
-                    keep = (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    sig, who = sig[keep], some[who[keep]]
-                    for a in range(0, len(sig), 200_000):
-                        w = pa.array(who[a : a + 200_000])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(sig[a : a + 200_000].view(np.int64)), part.column(0).take(w), part.column(1).take(w), part.column(2).take(w), part.column(3).take(w)],
-                            names=["sig", "class", "size", "s0", "s1"],
-                        )
-            if waiting > 8_000_000:
-                yield _blobs(held)
-                held, waiting = {INDEX: [], PROBE_OWN: [], PROBE: []}, 0
-        if waiting:
-            yield _blobs(held)
+            for down in range(int((own - low).max()) + 1):
+                some = np.flatnonzero(own - low >= down)
+                keep = slice(None) if len(some) == n else np.isin(row, some)
+                band = own[some] - down
+                sig, who, kind = _segments_of(codes[keep], np.repeat(np.arange(len(some)), size[some]), size[some], band, bands, share, log_cost, spare)
+                if down:
+                    probed = (kind != FULL) & (kind != LESS)
+                    sig, who, kind = sig[probed], who[probed], kind[probed]
+                parts = np.array([parts_of.get(int(b), 1) for b in bands])[band]
+                part = (sig >> np.uint64(40)).astype(np.int64) % parts[who]
+                base = np.r_[0, np.cumsum(parts)]
+                at = base[who] + part
+                order = np.argsort(at * len(KINDS) + kind, kind="stable")
+                counts = np.bincount(at * len(KINDS) + kind, minlength=base[-1] * len(KINDS)).reshape(-1, len(KINDS))
+                used = np.flatnonzero(counts.sum(1))
+                counts = counts[used]
+                lengths = counts.sum(1)
+                ends = np.cumsum(lengths + 1 + len(KINDS))
+                starts = ends - lengths - 1 - len(KINDS)
+                flat = np.empty(ends[-1] if len(ends) else 0, dtype=np.int32)
+                head = starts[:, None] + np.arange(1 + len(KINDS))
+                flat[head] = np.c_[np.full(len(used), down == 0), counts]
+                body = np.ones(len(flat), dtype=bool)
+                body[head.ravel()] = False
+                flat[body] = (sig[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                of = np.repeat(np.arange(len(some)), parts)[used]
+                bucket = (band[of] << 24) + used - base[of]
+                whose = pa.array(some[of])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket), *(batch.column(c).take(whose) for c in range(4)), pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(flat))],
+                    names=["bucket", "class", "size", "s0", "s1", "signatures"],
+                )
 
     return run
 
 
-INDEX, PROBE_OWN, PROBE = 0, 1, 2
-LOW_BITS = 28
-
-
-def _split(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and low bits of signatures: all that the filter knows of them."""
-    return (sig % np.uint64(BUCKETS)).astype(np.int64), ((sig // np.uint64(BUCKETS)) & np.uint64((1 << LOW_BITS) - 1)).astype(np.uint32)
-
-
-def _place(sig: np.ndarray, bits: int) -> np.ndarray:
-    """Place of each signature in a bitmap of *bits*, a power of two."""
-    return sig % np.uint64(bits)
-
-
-def _blobs(held: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
-    buckets, kinds, blobs = [], [], []
-    for kind, sigs in held.items():
-        bucket, low = _split(np.concatenate(sigs)) if sigs else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
-        order = np.argsort((bucket.astype(np.uint64) << np.uint64(32)) | low)
-        bucket, low = bucket[order], low[order]
-        ends = np.searchsorted(bucket, np.arange(BUCKETS + 1))
-        for n in range(BUCKETS):
-            if ends[n + 1] > ends[n]:
-                buckets.append(n)
-                kinds.append(kind)
-                blobs.append(_packed(low[ends[n] : ends[n + 1]]))
-    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
-
-
-def _packed(x: np.ndarray) -> bytes:
-    """Sorted numbers as compressed differences."""
-    import zlib
-
-    return zlib.compress(np.diff(x, prepend=np.uint32(0)).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1) if len(x) else b""
-
-
-def _unpacked(blob: bytes) -> np.ndarray:
-    import zlib
-
-    if not blob:
-        return np.zeros(0, dtype=np.uint32)
-    return np.cumsum(np.frombuffer(zlib.decompress(blob), dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint32)
-
-
-def _repeated(bits: int):
-    """A function for applyInPandas: a bucket's part of a bitmap of *bits* that marks the signatures which a
-    set asks for and a different set may answer: probed, and twice or more among index rows and foreign probes."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        of = {k: [_unpacked(b) for b in part.loc[part["kind"] == k, "blob"]] + [np.zeros(0, np.uint32)] for k in (INDEX, PROBE_OWN, PROBE)}
-        low = np.sort(np.concatenate(of[INDEX] + of[PROBE]))
-        twice = np.unique(low[1:][low[1:] == low[:-1]])
-        twice = np.intersect1d(twice, np.unique(np.concatenate(of[PROBE_OWN] + of[PROBE])), assume_unique=True).astype(np.uint64)
-        bucket = int(part["bucket"].iloc[0])
-        # bits is a multiple of BUCKETS, and bits / BUCKETS at most 2 ** LOW_BITS, so the known bits decide the place.
-        place = np.unique((twice * np.uint64(BUCKETS) + np.uint64(bucket)) % np.uint64(bits))
-        mine = np.zeros(bits // BUCKETS, dtype=np.uint8)
-        mine[(place // np.uint64(BUCKETS)).astype(np.int64)] = 1
-        return pd.DataFrame({"bucket": [bucket], "map": [np.packbits(mine, bitorder="little").tobytes()]})
+def _meet(share: Fraction):
+    """A function for applyInArrow: pairs of classes of one bucket that meet on a probed signature, fit in size and pass the sketch."""
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        name, size, s0, s1 = (part.column(c).to_numpy() for c in ("class", "size", "s0", "s1"))
+        size, s0, s1 = size.astype(np.int64), s0.view(np.uint64), s1.view(np.uint64)
+        need = -((-share.numerator * size) // share.denominator)
+        lists = part.column("signatures").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        flat, at = lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
+        head = at[:-1, None] + np.arange(1 + len(KINDS))
+        heads = flat[head]
+        body = np.ones(len(flat), dtype=bool)
+        body[head.ravel()] = False
+        sig, answers = flat[body].view(np.uint32).astype(np.uint64), heads[:, 0] == 1
+        counts = heads[:, 1:].ravel()
+        kind = np.repeat(np.tile(np.array(KINDS, dtype=np.int8), len(heads)), counts)
+        row = np.repeat(np.arange(len(heads), dtype=np.int32), heads[:, 1:].sum(1))
+        del flat, body, head
+
+        def index(kinds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+            """Answering signatures, each above its set's size, in order, and the sets."""
+            some = np.flatnonzero(np.isin(kind, kinds) & answers[row])
+            keys = (sig[some] << np.uint64(32)) | size[row[some]].astype(np.uint64)
+            order = np.argsort(keys)
+            return keys[order], row[some][order]
+
+        out = [np.zeros(0, dtype=np.uint64)]
+        for kinds, asked in (((FULL, FULL_EXACT, FULL_NEAR), (FULL_EXACT, FULL_NEAR, LESS_NEAR)), ((LESS, LESS_NEAR), (FULL_NEAR,))):
+            keys, sets = index(kinds)
+            some = np.flatnonzero(np.isin(kind, asked))
+            # Only partners of a fitting size are looked up: the larger set asks.
+            who = row[some]
+            lo = np.searchsorted(keys, (sig[some] << np.uint64(32)) | need[who].astype(np.uint64))
+            hi = np.searchsorted(keys, (sig[some] << np.uint64(32)) | size[who].astype(np.uint64), side="right")
+            found = np.flatnonzero(hi > lo)
+            lo, many, who = lo[found], (hi - lo)[found], who[found]
+            upto = np.r_[0, np.cumsum(many)]
+            a = 0
+            while a < len(many):
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] + CHUNK, side="right")) - 1)
+                # One list longer than a chunk is read in pieces.
+                for c in range(0, int(upto[b] - upto[a]), CHUNK):
+                    place = np.arange(c, min(c + CHUNK, int(upto[b] - upto[a])))
+                    n = np.searchsorted(upto[a : b + 1] - upto[a], place, side="right") - 1 if b > a + 1 else np.zeros(len(place), dtype=np.int64)
+                    x, y = who[a + n], sets[lo[a + n] + place - (upto[a + n] - upto[a])]
+                    flips = np.bitwise_count(s0[x] ^ s0[y]) + np.bitwise_count(s1[x] ^ s1[y])
+                    fit = (flips <= size[x] + size[y] - 2 * need[x]) & ((size[x] > size[y]) | (name[x] < name[y]))
+                    out.append(np.unique((x[fit].astype(np.uint64) << np.uint64(32)) | y[fit].astype(np.uint64)))
+                a = b
+        pairs = np.unique(np.concatenate(out))
+        x, y = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        return pa.table({"class_a": name[x], "class_b": name[y]})
 
     return run
 
@@ -314,36 +309,32 @@ def _count_bins(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def near_classes(classes: DataFrame, count: int, share: Fraction = Fraction(4, 5), spare: float = 1.15) -> DataFrame:
+def _parts_of(classes: DataFrame, spare: float) -> dict[int, int]:
+    """Parts that each size band is divided into; one row a band reaches the driver."""
+    longest = classes.agg(F.max("size").alias("n")).first()["n"]
+    if longest is None:
+        return {}
+    bands = _bands(int(longest))
+    band = F.array_size(F.filter(F.lit([int(b) for b in bands]), lambda b: b <= F.col("size"))) - 1
+    own = {r["band"]: r["n"] for r in classes.groupBy(band.alias("band")).agg(F.sum("size").alias("n")).collect()}
+    # Segments and their one-deletion neighbours, of the band's own sets and of those above that probe it.
+    return {b: max(1, -(-int(1.25 * (own.get(b, 0) + own.get(b + 1, 0))) // TASK_SIGNATURES)) for b in range(len(bands))}
+
+
+def near_classes(classes: DataFrame, share: Fraction = Fraction(4, 5), spare: float = 1.15) -> DataFrame:
     """(class_a, class_b): different classes of which at least *share* of the larger one's elements are shared.
 
-    *classes*: (class, size, s0, s1, elements), one row a class, *count* rows.
+    *classes*: (class, size, s0, s1, elements), one row a class.
     """
-    costs = _count_bins(classes)
     slim = classes.select("class", "size", "s0", "s1", "elements")
-    # Most signatures occur once and meet nothing: a first pass finds the repeated ones, the second drops the others.
-    bits = LEAST_BITS
-    while bits < min(MOST_BITS, 128 * count):
-        bits *= 2
-    maps = slim.mapInArrow(_signatures(share, costs, spare), "bucket int, kind int, blob binary").groupBy("bucket").applyInPandas(_repeated(bits), "bucket int, map binary").collect()
-    planes = np.zeros((BUCKETS, bits // BUCKETS), dtype=np.uint8)
-    for r in maps:
-        planes[r["bucket"]] = np.unpackbits(np.frombuffer(r["map"], dtype=np.uint8), bitorder="little")
-    shipped = classes.sparkSession.sparkContext.broadcast(np.packbits(planes.T.ravel(), bitorder="little").tobytes())
-    schema = "sig bigint, class bigint, size int, s0 bigint, s1 bigint"
-    index = slim.mapInArrow(_signatures(share, costs, spare, shipped, False), schema).toDF("sig", "class_b", "size_b", "s0_b", "s1_b")
-    probe = slim.mapInArrow(_signatures(share, costs, spare, shipped, True), schema).toDF("sig", "class_a", "size_a", "s0_a", "s1_a")
-    need = F.ceil(F.col("size_a") * F.lit(share.numerator) / F.lit(share.denominator))
-    flips = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
-    candidates = written(probe.join(index, "sig").filter(
-        ((F.col("size_a") > F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("class_a") < F.col("class_b"))))
-        & (F.col("size_b") >= need) & (flips <= F.col("size_a") + F.col("size_b") - 2 * need)
-    ).select("class_a", "class_b").distinct(), "candidates")
+    rows = slim.mapInArrow(_signatures(share, _count_bins(classes), spare, _parts_of(classes, spare)), _ROWS)
+    candidates = written(rows.groupBy("bucket").applyInArrow(_meet(share), "class_a bigint, class_b bigint").distinct(), "candidates")
     # Only classes with a candidate take their elements to the exact check.
     ends = candidates.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
     some = written(classes.select("class", "size", "elements").join(_sized(ends), "class", "left_semi"), "ends")
     a = some.select(F.col("class").alias("class_a"), F.col("size").alias("size_a"), F.col("elements").alias("ea"))
     b = some.select(F.col("class").alias("class_b"), F.col("elements").alias("eb"))
+    need = F.ceil(F.col("size_a") * F.lit(share.numerator) / F.lit(share.denominator))
     exact = candidates.join(a, "class_a").join(b, "class_b").filter(F.size(F.array_intersect("ea", "eb")) >= need)
     return exact.select("class_a", "class_b")
 
@@ -353,32 +344,41 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def passages(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, int]:
-    """(membership (id, class), classes with one row a class, their number)."""
+def passages(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(membership (id, class, s0), classes with one row a class)."""
     sets = written(word_sets(df, key, text), "wordsets")
-    members = sets.select("id", "class").distinct()
-    many = written(members.groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("n")), "classes")
+    members = sets.select("id", "class", "s0").distinct()
+    many = written(members.groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "classes")
     # Rows of a repeated class but for its first; a repeated row of the same id is dropped by its class as well.
-    heads = sets.join(_sized(many.filter("n > 1").select("class", "first")), "class", "left").filter("first IS NULL OR first = id").drop("first")
+    heads = sets.join(_sized(many.select("class", "first")), "class", "left").filter("first IS NULL OR first = id").drop("first")
     repeated = sets.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id")
     once = heads.join(_sized(repeated), "id", "left_anti")
     again = heads.join(_sized(repeated), "id", "left_semi").dropDuplicates(["class"])
-    return members, once.unionByName(again), many.count()
+    return members, once.unionByName(again)
 
 
 def near_pairs(df: DataFrame, key: str, text: str, share: Fraction = Fraction(4, 5)) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs of different ids whose texts share at least *share* of the longer one's words."""
-    members, classes, count = passages(df, key, text)
-    same = pairs_within(members, ["class"], "id").select("id_a", "id_b")
-    links = near_classes(classes, count, share)
-    across = links.join(members.select(F.col("class").alias("class_a"), F.col("id").alias("x")), "class_a").join(members.select(F.col("class").alias("class_b"), F.col("id").alias("y")), "class_b")
+    members, classes = passages(df, key, text)
+    same = pairs_within(members, ["class", "s0"], "id").select("id_a", "id_b")
+    links = near_classes(classes, share)
+    # The members of a large class are spread over salts, its links repeated.
+    spread = members.select("class", "id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    hot = members.groupBy("class").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_GROUP).select("class", F.lit(True).alias("hot"))
+
+    def to_members(table: DataFrame, end: str, out: str) -> DataFrame:
+        some = table.join(hot.withColumnRenamed("class", end), end, "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1))))).drop("hot")
+        marked = spread.join(hot, "class", "left").select(F.col("class").alias(end), F.col("id").alias(out), F.when(F.col("hot"), F.col("salt")).otherwise(F.lit(-1)).alias("salt"))
+        return some.join(marked, [end, "salt"]).drop("salt", end)
+
+    across = to_members(to_members(links, "class_a", "x"), "class_b", "y")
     across = across.filter("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return same.unionByName(across).distinct()
 
 
 def near_links(df: DataFrame, key: str, text: str, share: Fraction = Fraction(4, 5)) -> DataFrame:
     """(id, class, links): one row a text with its class and the number of other classes it is linked to."""
-    members, classes, count = passages(df, key, text)
-    links = near_classes(classes, count, share)
+    members, classes = passages(df, key, text)
+    links = near_classes(classes, share)
     ends = links.select(F.col("class_a").alias("class")).unionByName(links.select(F.col("class_b").alias("class"))).groupBy("class").agg(F.count("*").alias("links"))
-    return members.join(ends, "class", "left").select("id", "class", F.coalesce("links", F.lit(0)).alias("links"))
+    return members.select("id", "class").distinct().join(ends, "class", "left").select("id", "class", F.coalesce("links", F.lit(0)).alias("links"))
