@@ -2,27 +2,35 @@
 
 Texts are compared as streams of case-folded letters and digits. A window of an item of length L
 that occurs in a text with at most e edits shares at least L + 1 - q(e + 1) q-grams with it, all on
-diagonals at most e apart. Shared q-grams are counted in overlapping bands of diagonals; bands that
-meet the bound are kept and verified by alignment within the band, which gives the regions.
+diagonals at most e apart. Of each window only the q e + SPARE q-grams that are rarest among the items
+are indexed (an edit spoils at most q of them, so at least SPARE must be met). Shared q-grams are counted
+in overlapping bands of diagonals, as array arithmetic over a whole batch of texts; bands that meet the
+bound are kept and verified by alignment within the band, which gives the regions.
 
-The items are a stated query set, indexed in blocks of bounded size; every text is scanned whole.
+The items are a stated query set, indexed in blocks of bounded size; every text is scanned whole. q is 5,
+less for items whose shortest window is too short for it, so the bound is never below one q-gram.
 Defined results: null, empty and letterless texts and items match nothing; an item shorter than the
 window cannot leak; repeated rows give a pair once.
 """
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items indexed and shipped to the workers at once.
-BLOCK_ITEMS = 5_000
+#: Items indexed and shipped to the workers at once (about 10 kB each).
+BLOCK_ITEMS = 10_000
 WINDOW_WORDS, WINDOW_LETTERS = 12, 20
-Q = 5
+Q, SPARE = 5, 8
+#: Letters whose q-grams are looked up at once; a longer text is one batch of its own.
+BATCH_LETTERS = 2_000_000
+_RUNS = re.compile(r"[^\W_]+")
 
 
 def stream(text: str) -> tuple[str, list[int], list[int]]:
@@ -45,11 +53,33 @@ def stream(text: str) -> tuple[str, list[int], list[int]]:
     return "".join(out), starts, ends
 
 
+def letters_of(text: str) -> str:
+    """The stream alone."""
+    return "".join(_RUNS.findall(text if text.isascii() else unicodedata.normalize("NFKC", text))).casefold()
+
+
+def gram_codes(codes: np.ndarray, q: int) -> np.ndarray:
+    """A 64-bit hash of each run of *q* code points."""
+    out = np.zeros(max(0, len(codes) - q + 1), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for n in range(q):
+            out = (out ^ codes[n : n + len(out)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
 class Items:
     """Windows, q-gram index and bounds of a block of items."""
 
+    BITS = 22
+
     def __init__(self, rows: list[tuple[int, str | None, str | None]], edits: int):
-        self.edits, self.items, self.grams = edits, {}, defaultdict(list)
+        self.edits, self.keys, self.items, self.tables = edits, [], [], {}
+        by_q: dict[int, list[int]] = defaultdict(list)
         for key, lang, text in rows:
             letters, starts, ends = stream(text or "")
             if lang == "zh":
@@ -58,45 +88,108 @@ class Items:
                 windows = [(starts[i], ends[i + WINDOW_WORDS - 1]) for i in range(len(starts) - WINDOW_WORDS + 1)]
             if not windows or key is None:
                 continue
-            shortest = min(b - a for a, b in windows)
-            budget = min(edits, max(0, shortest // Q - 2))
-            self.items[key] = (letters, windows, budget, max(1, shortest + 1 - Q * (budget + 1)))
-            for i in range(len(letters) - Q + 1):
-                self.grams[letters[i : i + Q]].append((key, i))
-        self.grams = dict(self.grams)
-
-    def regions(self, text: str) -> Iterator[tuple[int, int, int, int]]:
-        """(item, start, end, edits) of the item windows found in *text*, each once with the least edits of all its places."""
-        if len(text) < Q:
+            q = min(Q, min(b - a for a, b in windows) // (edits + 1))
+            by_q[q].append(len(self.items))
+            self.keys.append(key)
+            self.items.append([letters, windows, q, None, None])
+        for q, some in by_q.items():
+            if q < 1:
+                raise ValueError("fewer edits than letters of a window, please")
+            self.tables[q] = self._table(q, some)
+
+    def _table(self, q: int, some: list[int]):
+        codes = {n: gram_codes(code_points(self.items[n][0]), q) for n in some}
+        often = Counter(c for x in codes.values() for c in x.tolist())
+        hashes, owners, places = [], [], []
+        for n in some:
+            windows, mine = self.items[n][1], codes[n]
+            rarity = np.array([often[c] for c in mine.tolist()]) * (len(mine) + 1) + np.arange(len(mine))
+            keep = np.zeros(len(mine), dtype=bool)
+            for a, b in windows:
+                part = rarity[a : b - q + 1]
+                m = min(len(part), q * self.edits + SPARE)
+                keep[a + np.argpartition(part, m - 1)[:m]] = True
+            upto = np.r_[0, np.cumsum(keep)]
+            # Indexed q-grams that a window must share, whatever its edits spoil.
+            need = [max(1, int(upto[b - q + 1] - upto[a]) - q * self.edits) for a, b in windows]
+            self.items[n][3:] = need, min(need)
+            at = np.flatnonzero(keep)
+            hashes.append(mine[at])
+            owners.append(np.full(len(at), n, dtype=np.int32))
+            places.append(at.astype(np.int32))
+        hashes, owners, places = map(np.concatenate, (hashes, owners, places))
+        order = np.argsort(hashes, kind="stable")
+        known, first = np.unique(hashes[order], return_index=True)
+        filter_ = np.zeros(1 << self.BITS, dtype=bool)
+        filter_[(known >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
+        return known, np.r_[first, len(order)], owners[order], places[order], filter_
+
+    def hits(self, codes: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the batch, item, place in the item) of every indexed q-gram of a batch."""
+        known, first, owners, places, filter_ = self.tables[q]
+        grams = gram_codes(codes, q)
+        at = np.flatnonzero(filter_[(grams >> np.uint64(64 - self.BITS)).astype(np.int64)])
+        slot = np.searchsorted(known, grams[at])
+        slot[slot == len(known)] = 0
+        good = known[slot] == grams[at]
+        at, slot = at[good], slot[good]
+        many = first[slot + 1] - first[slot]
+        which = np.repeat(first[slot] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum()) if len(many) else np.zeros(0, dtype=np.int64)
+        return np.repeat(at, many), owners[which], places[which]
+
+    def regions(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(number of the text, item, start, end, edits) of the item windows found, each once with the least edits of all its places."""
+        streams = [letters_of(t) if t else "" for t in texts]
+        begin = 0
+        while begin < len(streams):
+            end, size = begin + 1, len(streams[begin])
+            while end < len(streams) and size + len(streams[end]) < BATCH_LETTERS:
+                size += len(streams[end]) + 1
+                end += 1
+            # A zero between two texts: no q-gram spans it.
+            codes = code_points("\0".join(streams[begin:end]))
+            starts = np.r_[0, np.cumsum([len(s) + 1 for s in streams[begin:end]])]
+            for q in self.tables:
+                yield from ((begin + n, *found) for n, *found in self._batch(streams[begin:end], codes, starts, q))
+            begin = end
+
+    def _batch(self, streams: list[str], codes: np.ndarray, starts: np.ndarray, q: int) -> Iterator[tuple[int, int, int, int, int]]:
+        at, owner, place = self.hits(codes, q)
+        if not len(at):
             return
-        letters = text.casefold() if text.isascii() and text.isalnum() else stream(text)[0]
-        grams, bands = self.grams, defaultdict(list)
-        for i in range(len(letters) - Q + 1):
-            g = letters[i : i + Q]
-            if g in grams:
-                for key, j in grams[g]:
-                    width = self.items[key][2] + 1
-                    band = (i - j) // width
-                    # Bands overlap by half: a band spans two widths.
-                    bands[key, band].append((i, j))
-                    bands[key, band - 1].append((i, j))
-        found: dict[tuple[int, int, int], int] = {}
-        for (key, band), hits in bands.items():
-            item, windows, budget, least = self.items[key]
-            if len({j for _, j in hits}) < least:
+        text = np.searchsorted(starts, at, side="right") - 1
+        width, start = self.edits + 1, at - starts[text]
+        # Bands overlap by half: a band spans two widths.
+        band = (start - place) // width
+        low = int(band.min()) - 1
+        spread = int(band.max()) - low + 1
+        key = (text * len(self.items) + owner) * spread + (band - low)
+        key, who = np.r_[key, key - 1], np.r_[np.arange(len(at)), np.arange(len(at))]
+        order = np.argsort(key, kind="stable")
+        key, who = key[order], who[order]
+        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        many = np.diff(np.r_[heads, len(key)])
+        least = np.array([x[4] or 0 for x in self.items])
+        found: dict[tuple[int, int, int, int], int] = {}
+        enough = many >= least[owner[who[heads]]]
+        for h, n in zip(heads[enough], many[enough]):
+            some = who[h : h + n]
+            places = np.unique(place[some])
+            letters, windows, _, need, fewest = self.items[owner[some[0]]]
+            if len(places) < fewest:
                 continue
-            low, high = min(j for _, j in hits), max(j for _, j in hits) + Q
-            for a, b in windows:
-                known = found.get((key, a, b), budget + 1)
-                if b <= low or a >= high or not known:
+            t, item, first = int(text[some[0]]), int(owner[some[0]]), (int(key[h]) % spread + low) * width
+            for (a, b), fewest in zip(windows, need):
+                known = found.get((t, item, a, b), self.edits + 1)
+                if not known or b <= places[0] or a > places[-1]:
                     continue
-                if sum(a <= j and j + Q <= b for _, j in hits) < b - a + 1 - Q * (budget + 1):
+                if np.searchsorted(places, b - q, side="right") - np.searchsorted(places, a) < fewest:
                     continue
-                cost = self.align(letters, item[a:b], band * (budget + 1) + a, 2 * (budget + 1), budget)
+                cost = self.align(streams[t], letters[a:b], first + a, 2 * width, self.edits)
                 if cost is not None and cost < known:
-                    found[key, a, b] = cost
-        for (key, a, b), cost in found.items():
-            yield key, a, b, cost
+                    found[t, item, a, b] = cost
+        for (t, item, a, b), cost in found.items():
+            yield t, self.keys[item], a, b, cost
 
     @staticmethod
     def align(text: str, window: str, first: int, width: int, budget: int) -> int | None:
@@ -131,20 +224,28 @@ def leaked(corpus: DataFrame, key: str, text: str, items: DataFrame, edits: int
     *items*: item_id, lang, text. Offsets are in the item's stream of letters and digits.
     """
     kind = dict(corpus.dtypes)[key]
-    rows = [(r["item_id"], r["lang"], r["text"]) for r in items.select("item_id", "lang", "text").distinct().toLocalIterator()]
     schema, src = f"{key} {kind}, item_id bigint, item_start int, item_end int, edits int", corpus.select(key, text).filter(F.col(text).isNotNull())
+
+    def blocks() -> Iterator[list[tuple]]:
+        rows: list[tuple] = []
+        for r in items.select("item_id", "lang", "text").distinct().toLocalIterator():
+            rows.append((r["item_id"], r["lang"], r["text"]))
+            if len(rows) == BLOCK_ITEMS:
+                yield rows
+                rows = []
+        yield rows
+
     out = None
-    for at in range(0, max(1, len(rows)), BLOCK_ITEMS):
-        block = Items(rows[at : at + BLOCK_ITEMS], edits)
-        shipped = corpus.sparkSession.sparkContext.broadcast((block.edits, block.items, block.grams))
+    for rows in blocks():
+        if not rows and out is not None:
+            continue
+        shipped = corpus.sparkSession.sparkContext.broadcast(Items(rows, edits))
 
         def run(parts: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            index = Items([], 0)
-            index.edits, index.items, index.grams = shipped.value
+            index = shipped.value
             for part in parts:
-                found = [(k, *r) for k, t in zip(part.column(0), part.column(1).to_pylist()) for r in index.regions(t)]
-                columns = list(zip(*found)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in columns[0]], part.schema.field(0).type), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[2:])], names=[key, "item_id", "item_start", "item_end", "edits"])
+                columns = list(zip(*index.regions(part.column(1).to_pylist()))) or [()] * 5
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[2:])], names=[key, "item_id", "item_start", "item_end", "edits"])
 
         some = src.mapInArrow(run, schema)
         out = some if out is None else out.unionByName(some)
