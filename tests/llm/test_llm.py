@@ -230,14 +230,25 @@ def test_exact_copy_after_an_edited_one(spark):
 
 def test_abuse_search_is_exact_and_forms_are_undone(spark):
     rng = random.Random(2)
-    words = [f"w{i}" for i in range(40)]
-    examples = [(i, [rng.choice(words) for _ in range(8)], i % 2) for i in range(300)]
+    words = [f"w{i}" for i in range(400)]
+    # Examples of one topic share words, so most blocks cannot reach the best ones.
+    examples = [(i, [f"w{(i % 20) * 20 + rng.randrange(20)}" for _ in range(8)] + [rng.choice(words)], i % 2) for i in range(600)]
     ix = abuse.Index(examples, {}, 1000)
-    for _ in range(30):
-        q = [rng.choice(words) for _ in range(6)]
-        v = ix.vector(q)
-        slow = sorted(((-sum(v.get(f, 0) * w for f, w in ix.vector(e).items()), i) for i, e, _ in examples))[:5]
-        assert [round(-s, 9) for s, _ in slow] == [round(s, 9) for s, _ in ix.nearest(q, 5)]
+    queries = [[f"w{t * 20 + rng.randrange(20)}" for _ in range(6)] + ["unknown"] for t in range(20)] + [[], ["unknown"]]
+    sims, near = ix.nearest(queries, 5)
+
+    def dense(texts):
+        rows, features, weights = ix.vectors(texts)
+        m = np.zeros((len(texts), len(ix.idf)))
+        m[rows, features] = weights
+        return m
+
+    slow = dense(queries) @ dense(ix.texts).T
+    assert np.allclose(sims, -np.sort(-slow, axis=1)[:, :5]) and (near[-2:] == -1).all()
+    assert np.allclose(np.take_along_axis(slow, np.maximum(near, 0), 1), sims)
+    assert ix.read < ix.met / 2  # blocks are really skipped
+    left_out = ix.nearest(ix.texts[:50], 1, list(range(50)))[1]
+    assert all(a != b for a, (b,) in enumerate(left_out))
     samples = [(1, "You are a filthy idiot and everyone knows it.", 1), (2, "The harbour opened in spring near the mill.", 0), (3, "Police found the old map.", 0), (4, "Nobody asked you, idiot; crawl back into your hole.", 1)]
     docs = [(1, "You are a f1lthy i-d-i-o-t and everyone knows it. Fine."), (2, "The harbour opened in spring."), (3, None), (4, ""), (5, "YОU ARE A FILTHY IDIIIIOT AND EVERYONE KNOWS IT"), (2, "The harbour opened in spring.")]
     s = spark.createDataFrame(samples, "sample_id bigint, text string, is_abusive int")
