@@ -9,8 +9,8 @@ within k differences agree on some segments: if a probing set gives segment i th
 {-1, 0, 1} and the sum of (e_i + 1) exceeds k, then some segment differs by at most e_i. The index
 holds every segment of every set and its one-deletion neighbours; the probing side spends its budget
 where the expected posting lists are shortest, estimated from corpus-wide element counts (a table of
-fixed size). A set travels once to a bucket, with its sketch and a 32-bit signature for each segment and
-neighbour; lists are met and sketches compared there. Candidates pass a 128-bit parity sketch, then an
+fixed size). A set travels once to a bucket, with its sketch and a short signature for each segment and
+neighbour; lists are met and sketches compared there. Candidates pass a 256-bit parity sketch, then an
 exact check. Nothing is capped.
 
 Texts with the same words form one class before the join; copies are never compared with each other.
@@ -35,7 +35,7 @@ from .shared import HOT_GROUP, SALTS, pairs_within
 #: Bins of the element counts.
 COUNT_BINS = 1 << 16
 #: Signatures that a task of the join aims at.
-TASK_SIGNATURES = 4_000_000
+TASK_SIGNATURES = 3_000_000
 #: Rows that may be broadcast (16 bytes each); beyond that the joins shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Pairs compared at once.
@@ -78,7 +78,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SETS = "id string, class bigint, size int, s0 bigint, s1 bigint, elements array<bigint>"
+#: Words of the parity sketch, 64 bits each.
+SKETCH = [f"s{n}" for n in range(4)]
+_SETS = f"id string, class bigint, size int, {', '.join(f'{s} bigint' for s in SKETCH)}, elements array<bigint>"
 
 
 def _sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,19 +116,17 @@ def _sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.r_[0, np.cumsum(size)]
         with np.errstate(over="ignore"):
             whole = _mix(np.add.reduceat(_mix(codes), at[:-1]) + size.astype(np.uint64))
-        # Parity sketch: an element flips one of 128 bits.
+        # Parity sketch: an element flips one bit.
         bit = _mix(codes ^ np.uint64(0x5851F42D4C957F2D))
-        one = np.left_shift(np.uint64(1), bit & np.uint64(63))
-        upper = (bit >> np.uint64(6)) & np.uint64(1) == 1
-        s0 = np.bitwise_xor.reduceat(np.where(upper, np.uint64(0), one), at[:-1])
-        s1 = np.bitwise_xor.reduceat(np.where(upper, one, np.uint64(0)), at[:-1])
+        one, word = np.left_shift(np.uint64(1), bit & np.uint64(63)), (bit >> np.uint64(6)) % np.uint64(len(SKETCH))
+        sketch = [np.bitwise_xor.reduceat(np.where(word == n, one, np.uint64(0)), at[:-1]) for n in range(len(SKETCH))]
         signed = lambda x: pa.array(x.view(np.int64))
         elements = pa.ListArray.from_arrays(pa.array(at, pa.int32()), signed(codes))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), signed(whole), pa.array(size, pa.int32()), signed(s0), signed(s1), elements], names=["id", "class", "size", "s0", "s1", "elements"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), signed(whole), pa.array(size, pa.int32()), *map(signed, sketch), elements], names=["id", "class", "size", *SKETCH, "elements"])
 
 
 def word_sets(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, class, size, s0, s1, elements): the word set of every text that has words."""
+    """(id, class, size, sketch words, elements): the word set of every text that has words."""
     return df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).mapInArrow(_sets, _SETS)
 
 
@@ -141,7 +141,9 @@ RATIO = 1.25
 #: Kinds of a row's signatures: a segment that is not probed, probed exactly, probed with one difference; a
 #: segment less one element that only answers, and one that is probed as well.
 KINDS = FULL, FULL_EXACT, FULL_NEAR, LESS, LESS_NEAR = 0, 1, 2, 3, 4
-_ROWS = "bucket bigint, class bigint, size int, s0 bigint, s1 bigint, signatures array<int>"
+_ROWS = f"bucket bigint, class bigint, size int, {', '.join(f'{s} bigint' for s in SKETCH)}, counts array<int>, signatures binary"
+#: Bytes of a signature in a bucket: with TASK_SIGNATURES in it, chance meetings are rare beside real ones.
+WIDTH = 3
 
 
 def _bands(longest: int, ratio: float = RATIO) -> np.ndarray:
@@ -189,8 +191,8 @@ def _signatures(share: Fraction, costs: np.ndarray, spare: float, parts_of: dict
     """A function for mapInArrow over classes: one row for each (class, bucket) with the signatures that meet there.
 
     A bucket is a size band and, where the band has many signatures, a part of its signatures by hash. In its own
-    band a set answers and probes with the same signatures; below it only sends those it probes. The list starts
-    with 1 where the set answers (else 0) and the number of its signatures of each kind.
+    band a set answers and probes with the same signatures; below it only sends those it probes. The counts start
+    with 1 where the set answers (else 0), then comes the number of its signatures of each kind.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +202,7 @@ def _signatures(share: Fraction, costs: np.ndarray, spare: float, parts_of: dict
             if not n:
                 continue
             size = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            codes = batch.column(4).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            codes = batch.column(2 + len(SKETCH)).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             row = np.repeat(np.arange(n), size)
             bands = _bands(int(size.max()))
             own = np.searchsorted(bands, size, side="right") - 1
@@ -214,7 +216,7 @@ def _signatures(share: Fraction, costs: np.ndarray, spare: float, parts_of: dict
                 if down:
                     probed = (kind != FULL) & (kind != LESS)
                     sig, who, kind = sig[probed], who[probed], kind[probed]
-                parts = np.array([parts_of.get(int(b), 1) for b in bands])[band]
+                parts = np.array([parts_of.get(b, 1) for b in range(len(bands))])[band]
                 part = (sig >> np.uint64(40)).astype(np.int64) % parts[who]
                 base = np.r_[0, np.cumsum(parts)]
                 at = base[who] + part
@@ -222,21 +224,18 @@ def _signatures(share: Fraction, costs: np.ndarray, spare: float, parts_of: dict
                 counts = np.bincount(at * len(KINDS) + kind, minlength=base[-1] * len(KINDS)).reshape(-1, len(KINDS))
                 used = np.flatnonzero(counts.sum(1))
                 counts = counts[used]
-                lengths = counts.sum(1)
-                ends = np.cumsum(lengths + 1 + len(KINDS))
-                starts = ends - lengths - 1 - len(KINDS)
-                flat = np.empty(ends[-1] if len(ends) else 0, dtype=np.int32)
-                head = starts[:, None] + np.arange(1 + len(KINDS))
-                flat[head] = np.c_[np.full(len(used), down == 0), counts]
-                body = np.ones(len(flat), dtype=bool)
-                body[head.ravel()] = False
-                flat[body] = (sig[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                ends = np.r_[0, np.cumsum(counts.sum(1))] * WIDTH
+                packed = sig[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
                 of = np.repeat(np.arange(len(some)), parts)[used]
                 bucket = (band[of] << 24) + used - base[of]
-                whose = pa.array(some[of])
+                whose, lead = pa.array(some[of]), np.c_[np.full(len(used), down == 0), counts].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket), *(batch.column(c).take(whose) for c in range(4)), pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(flat))],
-                    names=["bucket", "class", "size", "s0", "s1", "signatures"],
+                    [
+                        pa.array(bucket), *(batch.column(c).take(whose) for c in range(2 + len(SKETCH))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * lead.shape[1], pa.int32()), pa.array(lead.ravel())),
+                        pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(packed)]),
+                    ],
+                    names=["bucket", "class", "size", *SKETCH, "counts", "signatures"],
                 )
 
     return run
@@ -247,21 +246,18 @@ def _meet(share: Fraction):
 
     def run(part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
-        name, size, s0, s1 = (part.column(c).to_numpy() for c in ("class", "size", "s0", "s1"))
-        size, s0, s1 = size.astype(np.int64), s0.view(np.uint64), s1.view(np.uint64)
+        name, size = part.column("class").to_numpy(), part.column("size").to_numpy().astype(np.int64)
+        sketch = [part.column(c).to_numpy().view(np.uint64) for c in SKETCH]
         need = -((-share.numerator * size) // share.denominator)
-        lists = part.column("signatures").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        flat, at = lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
-        head = at[:-1, None] + np.arange(1 + len(KINDS))
-        heads = flat[head]
-        body = np.ones(len(flat), dtype=bool)
-        body[head.ravel()] = False
-        sig, answers = flat[body].view(np.uint32).astype(np.uint64), heads[:, 0] == 1
-        counts = heads[:, 1:].ravel()
-        kind = np.repeat(np.tile(np.array(KINDS, dtype=np.int8), len(heads)), counts)
-        row = np.repeat(np.arange(len(heads), dtype=np.int32), heads[:, 1:].sum(1))
-        del flat, body, head
+        heads = np.array(pa.concat_arrays(part.column("counts").chunks).flatten()).reshape(len(size), -1)
+        answers, counts = heads[:, 0] == 1, heads[:, 1:]
+        raw = np.frombuffer(b"".join(part.column("signatures").to_pylist()), dtype=np.uint8).reshape(-1, WIDTH)
+        sig = np.zeros(len(raw), dtype=np.uint64)
+        for n in range(WIDTH):
+            sig |= raw[:, n].astype(np.uint64) << np.uint64(8 * n)
+        kind = np.repeat(np.tile(np.array(KINDS, dtype=np.int8), len(heads)), counts.ravel())
+        row = np.repeat(np.arange(len(heads), dtype=np.int32), counts.sum(1))
+        del raw
 
         def index(kinds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
             """Answering signatures, each above its set's size, in order, and the sets."""
@@ -289,7 +285,7 @@ def _meet(share: Fraction):
                     place = np.arange(c, min(c + CHUNK, int(upto[b] - upto[a])))
                     n = np.searchsorted(upto[a : b + 1] - upto[a], place, side="right") - 1 if b > a + 1 else np.zeros(len(place), dtype=np.int64)
                     x, y = who[a + n], sets[lo[a + n] + place - (upto[a + n] - upto[a])]
-                    flips = np.bitwise_count(s0[x] ^ s0[y]) + np.bitwise_count(s1[x] ^ s1[y])
+                    flips = sum(np.bitwise_count(s[x] ^ s[y]).astype(np.int64) for s in sketch)
                     fit = (flips <= size[x] + size[y] - 2 * need[x]) & ((size[x] > size[y]) | (name[x] < name[y]))
                     out.append(np.unique((x[fit].astype(np.uint64) << np.uint64(32)) | y[fit].astype(np.uint64)))
                 a = b
@@ -324,9 +320,9 @@ def _parts_of(classes: DataFrame, spare: float) -> dict[int, int]:
 def near_classes(classes: DataFrame, share: Fraction = Fraction(4, 5), spare: float = 1.15) -> DataFrame:
     """(class_a, class_b): different classes of which at least *share* of the larger one's elements are shared.
 
-    *classes*: (class, size, s0, s1, elements), one row a class.
+    *classes*: (class, size, sketch words, elements), one row a class.
     """
-    slim = classes.select("class", "size", "s0", "s1", "elements")
+    slim = classes.select("class", "size", *SKETCH, "elements")
     rows = slim.mapInArrow(_signatures(share, _count_bins(classes), spare, _parts_of(classes, spare)), _ROWS)
     candidates = written(rows.groupBy("bucket").applyInArrow(_meet(share), "class_a bigint, class_b bigint").distinct(), "candidates")
     # Only classes with a candidate take their elements to the exact check.
@@ -348,13 +344,11 @@ def passages(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(membership (id, class, s0), classes with one row a class)."""
     sets = written(word_sets(df, key, text), "wordsets")
     members = sets.select("id", "class", "s0").distinct()
-    many = written(members.groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "classes")
     # Rows of a repeated class but for its first; a repeated row of the same id is dropped by its class as well.
-    heads = sets.join(_sized(many.select("class", "first")), "class", "left").filter("first IS NULL OR first = id").drop("first")
-    repeated = sets.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id")
-    once = heads.join(_sized(repeated), "id", "left_anti")
-    again = heads.join(_sized(repeated), "id", "left_semi").dropDuplicates(["class"])
-    return members, once.unionByName(again)
+    many = _sized(written(sets.groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("class", "first"), "classes"))
+    heads = sets.join(many, "class", "left").filter("first IS NULL OR first = id").drop("first")
+    repeated = _sized(written(sets.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id"), "repeated"))
+    return members, heads.join(repeated, "id", "left_anti").unionByName(heads.join(repeated, "id", "left_semi").dropDuplicates(["class"]))
 
 
 def near_pairs(df: DataFrame, key: str, text: str, share: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -364,7 +358,7 @@ def near_pairs(df: DataFrame, key: str, text: str, share: Fraction = Fraction(4,
     links = near_classes(classes, share)
     # The members of a large class are spread over salts, its links repeated.
     spread = members.select("class", "id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    hot = members.groupBy("class").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_GROUP).select("class", F.lit(True).alias("hot"))
+    hot = _sized(written(members.groupBy("class").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_GROUP).select("class", F.lit(True).alias("hot")), "hot"))
 
     def to_members(table: DataFrame, end: str, out: str) -> DataFrame:
         some = table.join(hot.withColumnRenamed("class", end), end, "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1))))).drop("hot")
