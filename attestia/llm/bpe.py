@@ -2,8 +2,9 @@
 
 A text is cut into words by the tokenizer's public pattern. Each distinct word becomes an
 array of byte ids; a fold merges, round by round, every occurrence of the adjacent pair with
-the lowest rank, looked up in a literal rank map held in the plan. Word ids are joined back
-to the texts through a salted equi-join.
+the lowest rank, looked up in a literal rank map held in the plan. The ids of the most frequent
+words (FREQUENT of them, by counts over all texts) are folded once and held in the plan as well; any
+other word is folded where it stands, so no text and no word is shuffled. Both ways give the same ids.
 
 Defined results: an empty and a null text give an empty list; repeated texts give equal lists;
 special-token strings inside a text are ordinary text; no length limit.
@@ -16,7 +17,7 @@ import os
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, map_words
+from .shared import let
 
 TOKENIZERS = os.environ.get("ATTESTIA_TOKENIZERS", "/opt/tokenizers")
 #: White space as the tokenizer's regular expressions define it; Java's own \s is ASCII.
@@ -24,6 +25,8 @@ _SPACE = r"\t-\r\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{20
 #: The public pre-tokenizer pattern of the vocabulary (fixed value).
 WORDS = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 _BUCKETS = 16384
+#: Words whose ids are held in the plan: the bound of what reaches the driver (a few MB).
+FREQUENT = 65_536
 
 
 def _byte_letters() -> dict[str, int]:
@@ -114,24 +117,32 @@ def _merge(ids: Column, ranks: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.size(ids)), start, round_, lambda s: s["ids"])
 
 
-def word_ids(distinct_words: DataFrame, vocabulary: Vocabulary, word: str = "word", out: str = "ids") -> DataFrame:
-    """Adds array<int> *out* to a table of distinct words."""
+def fold_word(word: Column, vocabulary: Vocabulary) -> Column:
+    """array<int>: the ids of one word."""
     base, ranks, joints = F.array(*[F.lit(i) for i in vocabulary.byte_ids]), vocabulary.rank_map(), vocabulary.joint_map()
-    parts = distinct_words.withColumn("_bytes", _bytes(F.col(word))).withColumn("_parts", _segments(F.col("_bytes"), joints))
-    return parts.withColumn(out, F.flatten(F.transform("_parts", lambda p: _merge(F.transform(p, lambda b: F.get(base, b)), ranks)))).drop("_bytes", "_parts")
+    return let(_bytes(word), lambda codes: F.flatten(F.transform(_segments(codes, joints), lambda p: _merge(F.transform(p, lambda b: F.get(base, b)), ranks))))
 
 
-def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> DataFrame:
-    """(key, ids array<int>) for every row; *key* must be unique. Extra columns are ignored.
+def _slot(word: Column) -> Column:
+    return F.pmod(F.hash(word), F.lit(_BUCKETS))
 
-    Distinct words of the corpus are folded once. Each (text, distinct word) pair meets its ids in a
-    join on (word, salt), so a word found in every text spreads over several tasks; the positions
-    of a word travel with the pair, and one aggregation by key puts the text together.
-    """
-    src = df.select(F.col(key).alias("_key"), words(F.col(text)).alias("_words"))
-    known = word_ids(src.select(F.explode("_words").alias("_word")).distinct(), vocabulary, "_word", "_ids")
-    lists = map_words(src, "_key", "_words", known, "_word", "_ids", "_lists")
-    return lists.select(F.col("_key").alias(key), F.flatten("_lists").alias("ids"))
+
+def frequent_ids(lists: DataFrame, column: str, vocabulary: Vocabulary, most: int) -> Column:
+    """A literal array of _BUCKETS maps word -> ids of the *most* frequent words of the array column."""
+    counts = lists.select(F.explode(column).alias("word")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(most)
+    known = counts.select("word", _slot(F.col("word")).alias("slot"), fold_word(F.col("word"), vocabulary).alias("ids")).collect()
+    buckets: list[dict[str, list[int]]] = [{} for _ in range(_BUCKETS)]
+    for r in known:
+        buckets[r["slot"]][r["word"]] = r["ids"]
+    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,array<int>>>")
+
+
+def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: Vocabulary, frequent: int = FREQUENT) -> DataFrame:
+    """(key, ids array<int>) for every row. Extra columns are ignored; *frequent* changes the speed only."""
+    src = df.select(F.col(key), words(F.col(text)).alias("_words"))
+    known = frequent_ids(src, "_words", vocabulary, frequent)
+    ids = F.transform("_words", lambda w: F.coalesce(F.try_element_at(F.get(known, _slot(w)), w), fold_word(w, vocabulary)))
+    return src.select(key, F.flatten(ids).alias("ids"))
 
 
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
