@@ -16,37 +16,41 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestia.session import written
 
-#: Rows the centres are fitted on, and rows a shard aims at and may hold.
-SAMPLE, SHARD_AIM, SHARD_MOST = 20_000, 4_000, 12_000
+#: Rows the centres are fitted on (SAMPLE_A_CENTRE for each centre where that is more, MOST_SAMPLE at most).
+SAMPLE, SAMPLE_A_CENTRE, MOST_SAMPLE = 20_000, 10, 200_000
+#: Rows a shard aims at and may hold.
+SHARD_AIM, SHARD_MOST = 16_000, 48_000
 DEGREE, BEAM, PROBES, ALPHA = 20, 40, 7, 1.2
 
 
 def usable(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
-    """(id, v): unit vectors of the rows whose vector has *size* finite values that aren't all zero."""
-    v = F.col(vector)
-    x = df.select(F.col(key).cast("string").alias("id"), F.transform(v, lambda e: e.cast("double")).alias("v"))
+    """(id, v, point): the stored vectors that have *size* finite values which aren't all zero; equal directions are one point."""
+    kind = "array<double>" if dict(df.dtypes)[vector] == "array<double>" else "array<float>"
+    x = df.select(F.col(key).cast("string").alias("id"), F.col(vector).cast(kind).alias("v"))
     ok = (F.size("v") == size) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    x = x.filter(F.col("id").isNotNull() & F.coalesce(ok, F.lit(False))).withColumn("peak", F.array_max(F.transform("v", F.abs))).filter("peak > 0")
-    x = x.select("id", F.transform("v", lambda e: e / F.col("peak")).alias("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)))
-    return x.select("id", F.transform("v", lambda e: F.round(e / F.col("norm"), 7)).alias("v"))
+    x = x.filter(F.col("id").isNotNull() & F.coalesce(ok, F.lit(False))).withColumn("peak", F.array_max(F.transform("v", F.abs)).cast("double")).filter("peak > 0")
+    x = x.withColumn("unit", F.transform("v", lambda e: e.cast("double") / F.col("peak"))).withColumn("norm", F.sqrt(F.aggregate("unit", F.lit(0.0), lambda a, e: a + e * e)))
+    # + 0.0 makes a negative zero a plain one.
+    return x.select("id", "v", F.xxhash64(F.transform("unit", lambda e: F.round(e / F.col("norm"), 7) + F.lit(0.0))).alias("point"))
 
 
 def centres(sample: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
+    """At most *count* unit centres, by k-means on the sphere, in blocks of bounded size."""
     rng = np.random.default_rng(7)
     c = sample[rng.choice(len(sample), min(count, len(sample)), replace=False)]
+    step = max(1, 20_000_000 // len(c))
     for _ in range(rounds):
-        near = (sample @ c.T).argmax(1)
-        for j in range(len(c)):
-            some = sample[near == j]
-            if len(some):
-                m = some.sum(0)
-                c[j] = m / max(np.linalg.norm(m), 1e-12)
+        near = np.concatenate([(sample[a : a + step] @ c.T).argmax(1) for a in range(0, len(sample), step)])
+        m = np.zeros(c.shape, dtype=np.float64)
+        np.add.at(m, near, sample)
+        some = np.bincount(near, minlength=len(c)) > 0
+        c[some] = (m[some] / np.maximum(np.linalg.norm(m[some], axis=1, keepdims=True), 1e-12)).astype(c.dtype)
     return c
 
 
@@ -74,7 +78,7 @@ def prune(X: np.ndarray, me: np.ndarray, cand: np.ndarray, degree: int, alpha: f
     return out
 
 
-def search(X: np.ndarray, graph: np.ndarray, start: np.ndarray, Q: np.ndarray, beam: int, most: int = 200) -> tuple[np.ndarray, np.ndarray]:
+def search(X: np.ndarray, graph: np.ndarray, start: np.ndarray, Q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Beam search of all queries at once: (ids, similarities), best first; -1 where a list is short."""
     n, B = len(X), len(Q)
     ids = np.full((B, beam), -1, dtype=np.int32)
@@ -85,7 +89,8 @@ def search(X: np.ndarray, graph: np.ndarray, start: np.ndarray, Q: np.ndarray, b
     seen = np.zeros((B, n), dtype=bool)
     seen[:, start[:s]] = True
     live = np.arange(B)
-    for _ in range(most):
+    # Every step expands new entries and a beam's entries only improve, so the search ends by itself.
+    while len(live):
         # Expand the two best unexpanded entries of each live query.
         score = np.where(done[live] | (ids[live] < 0), -np.inf, sims[live])
         pick = np.argpartition(-score, 1, axis=1)[:, :2]
@@ -148,71 +153,90 @@ def build(X: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float =
     return graph, start
 
 
-def _matrix(col: pd.Series) -> np.ndarray:
-    return np.array(col.tolist(), dtype=np.float32).reshape(len(col), -1)
-
-
-def nearest(df: DataFrame, key: str, vector: str, k: int = 5, size: int = 64, probes: int = PROBES, beam: int = BEAM) -> DataFrame:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Unit rows, in doubles."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    X = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in chunks]).astype(np.float64).reshape(len(column), -1)
+    X /= np.abs(X).max(1, keepdims=True)
+    return X / np.linalg.norm(X, axis=1, keepdims=True)
+
+
+_FOUND = "point bigint, near array<struct<similarity: double, other: bigint>>"
+
+
+def _answer(k: int, beam: int):
+    """A function for applyInArrow over a part of a shard: its own points are indexed, all its rows ask."""
+
+    def run(part: pa.Table) -> pa.Table:
+        V, names, own = _matrix(part.column("v")), part.column("point").to_numpy(), part.column("own").to_numpy(zero_copy_only=False).astype(bool)
+        exact, known, most = V[own], names[own], k + 3
+        points, others, similarities, lengths = [names[:0]], [names[:0]], [np.zeros(0)], [np.zeros(0, dtype=np.int64)]
+        if own.any():
+            X = exact.astype(np.float32)
+            graph, start = build(X)
+            for a in range(0, len(V), 1000):
+                Q = V[a : a + 1000]
+                ids, _ = search(X, graph, start, Q.astype(np.float32), beam)
+                # Exact similarities of the proposals; the point itself is none.
+                r, c = np.nonzero((ids >= 0) & (known[ids] != names[a : a + 1000, None]))
+                sims = np.full(ids.shape, -np.inf)
+                sims[r, c] = np.einsum("nd,nd->n", exact[ids[r, c]], Q[r])
+                order = np.argsort(-sims, axis=1, kind="stable")[:, :most]
+                sims, ids = np.take_along_axis(sims, order, 1), np.take_along_axis(ids, order, 1)
+                good = sims > -np.inf
+                points.append(names[a : a + 1000])
+                lengths.append(good.sum(1))
+                others.append(known[ids[good]])
+                similarities.append(sims[good])
+        ends = np.r_[0, np.cumsum(np.concatenate(lengths))]
+        near = pa.StructArray.from_arrays([pa.array(np.concatenate(similarities)), pa.array(np.concatenate(others))], names=["similarity", "other"])
+        return pa.table({"point": pa.array(np.concatenate(points)), "near": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), near)})
+
+    return run
+
+
+def nearest(df: DataFrame, key: str, vector: str, k: int = 5, size: int = 64, probes: int = PROBES, beam: int = BEAM, aim: int = SHARD_AIM) -> DataFrame:
     """(id, neighbour, similarity): the *k* most similar others of every usable vector of *df*."""
-    points = usable(df, key, vector, size).distinct()
-    # Copies: one point with its k + 1 smallest ids; membership keeps all of them.
-    members = written(points.select("id", F.col("v"), F.xxhash64("v").alias("point")), "members")
-    reps = written(members.groupBy("point").agg(F.first("v").alias("v"), F.count("*").alias("n")), "points")
-    # The k + 1 smallest ids of a point, salted so that many copies never meet in one task.
-    salted = members.select("point", "id", F.pmod(F.xxhash64("id"), F.lit(32)).alias("salt"))
-    least = lambda c: F.slice(F.array_sort(c), 1, k + 1)
-    from pyspark.sql import Window
-
-    top = salted.withColumn("r", F.row_number().over(Window.partitionBy("point", "salt").orderBy("id"))).filter(F.col("r") <= k + 1)
-    smallest = top.groupBy("point").agg(least(F.collect_list("id")).alias("ids"))
-
+    points = usable(df, key, vector, size)
+    members = points.select("id", "point").distinct()
+    reps = written(points.groupBy("point").agg(F.min_by("v", "id").alias("v"), F.countDistinct("id").alias("n")), "points")
     total = reps.count()
     if not total:
         return members.select("id", F.lit(None).cast("string").alias("neighbour"), F.lit(None).cast("double").alias("similarity")).limit(0)
-    share = min(1.0, 1.2 * SAMPLE / total)
-    sample = reps.filter(F.pmod(F.xxhash64("point"), F.lit(1_000_003)) < int(1_000_003 * share)).select("v").limit(SAMPLE).toPandas()
-    hubs = centres(_matrix(sample["v"]) if len(sample) else _matrix(reps.select("v").limit(1).toPandas()["v"]), max(1, round(total / SHARD_AIM)))
+    # The k + 1 smallest ids of a point with copies, salted so that many copies never meet in one task.
+    copied = members.join(reps.filter("n > 1").select("point"), "point", "left_semi").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32)))
+    top = copied.withColumn("r", F.row_number().over(Window.partitionBy("point", "salt").orderBy("id"))).filter(F.col("r") <= k + 1)
+    copies = top.groupBy("point").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids"))
+    names = members.join(reps.filter("n = 1").select("point"), "point", "left_semi").select("point", F.array("id").alias("ids")).unionByName(copies)
+
+    count = max(1, round(total / aim))
+    room = min(MOST_SAMPLE, max(SAMPLE, SAMPLE_A_CENTRE * count))
+    share = min(1.0, 1.2 * room / total)
+    sample = reps.filter(F.pmod(F.xxhash64("point"), F.lit(1_000_003)) < int(1_000_003 * share)).select("v").limit(room).toArrow()
+    if not sample.num_rows:
+        sample = reps.select("v").limit(1).toArrow()
+    hubs = centres(_matrix(sample.column("v")).astype(np.float32), count)
     near = min(probes, len(hubs))
 
-    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            X = _matrix(part["v"])
-            sims = X @ hubs.T
-            order = np.argsort(-sims, axis=1, kind="stable")[:, :near]
-            yield pd.DataFrame({"point": part["point"], "v": part["v"], "shards": list(order.astype(np.int64))})
-
-    placed = written(reps.select("point", "v").mapInPandas(place, "point bigint, v array<double>, shards array<bigint>"), "placed")
-    load = {r["s"]: r["count"] for r in placed.groupBy(F.col("shards")[0].alias("s")).count().collect()}
-    parts = F.array(*[F.lit(max(1, -(-load.get(s, 0) // SHARD_MOST))) for s in range(len(hubs))])
-    base = placed.select("point", "v", F.col("shards")[0].alias("shard"))
-    index = base.select("shard", F.pmod(F.xxhash64("point", F.lit(3)), F.get(parts, F.col("shard").cast("int"))).alias("part"), "point", "v", F.lit(True).alias("own"))
-    asked = placed.select("point", "v", F.explode("shards").alias("shard")).withColumn("part", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("shard").cast("int")) - 1)))
-    asked = asked.select("shard", F.col("part").cast("bigint").alias("part"), "point", "v", F.lit(False).alias("own"))
-
-    def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"point": [], "other": [], "similarity": []})
-        X, names = _matrix(left["v"]), left["point"].to_numpy()
-        graph, start = build(X)
-        asked_by, out = right["point"].to_numpy(), []
-        Q = _matrix(right["v"])
-        for a in range(0, len(Q), 2000):
-            ids, sims = search(X, graph, start, Q[a : a + 2000], beam)
-            ids, sims = ids[:, : 2 * k + 4], sims[:, : 2 * k + 4]
-            r, c = np.nonzero(ids >= 0)
-            out.append(pd.DataFrame({"point": asked_by[a + r], "other": names[ids[r, c]], "similarity": sims[r, c].astype(np.float64)}))
-        got = pd.concat(out)
-        return got[got["point"] != got["other"]]
-
-    found = index.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInPandas(answer, "point bigint, other bigint, similarity double")
-    best = found.groupBy("point").agg(F.slice(F.sort_array(F.collect_set(F.struct("similarity", "other")), False), 1, 2 * k + 4).alias("near"))
-    # Exact similarities of the proposals, in doubles; a point is its own first neighbour where it has copies.
-    pairs = best.select("point", F.explode("near.other").alias("other")).distinct().unionByName(reps.filter("n > 1").select("point", F.col("point").alias("other")))
-    va, vb = reps.select("point", F.col("v").alias("va")), reps.select(F.col("point").alias("other"), F.col("v").alias("vb"))
-    scored = pairs.join(va, "point").join(vb, "other").select("point", "other", F.aggregate(F.zip_with("va", "vb", lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e).alias("similarity"))
-    named = scored.join(smallest.withColumnRenamed("point", "other"), "other")
-    lists = named.groupBy("point").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.round("similarity", 12)).alias("s"), i.alias("id")))))), 1, k + 1).alias("near")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                order = np.argsort(-(_matrix(batch.column(1)).astype(np.float32) @ hubs.T), axis=1, kind="stable")[:, :near].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1) * near, pa.int32()), pa.array(order.ravel()))], names=["point", "v", "shards"])
+
+    placed = reps.select("point", "v").mapInArrow(place, f"point bigint, v {dict(reps.dtypes)['v']}, shards array<int>")
+    load = {r["s"]: r["count"] for r in placed.groupBy(F.col("shards")[0].alias("s")).count().filter(F.col("count") > SHARD_MOST).collect()}
+    rows = placed.select("point", "v", F.posexplode("shards").alias("rank", "shard")).withColumn("own", F.col("rank") == 0)
+    # Only a shard that is too large is divided, by hash: its own points go to one part, every query to all.
+    parts = F.coalesce(F.try_element_at(F.create_map(*[x for s, n in load.items() for x in (F.lit(s), F.lit(-(-n // SHARD_MOST)))]), F.col("shard")), F.lit(1)) if load else F.lit(1)
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("own", F.col("own") & (F.pmod(F.xxhash64("point", F.lit(3)), parts) == F.col("part")))
+    found = rows.select("shard", "part", "point", "v", "own").groupBy("shard", "part").applyInArrow(_answer(k, beam), _FOUND)
+    best = found.groupBy("point").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near")), False), 1, k + 3).alias("near"))
+    # A point with copies is its own first neighbour.
+    own = reps.filter("n > 1").select("point", F.array(F.struct(F.lit(1.0).alias("similarity"), F.col("point").alias("other"))).alias("near"))
+    lists = best.unionByName(own).select("point", F.explode("near").alias("near")).select("point", F.col("near.other").alias("other"), F.round("near.similarity", 12).alias("similarity"))
+    named = lists.join(names.withColumnRenamed("point", "other"), "other").groupBy("point").agg(
+        F.slice(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("similarity")).alias("s"), i.alias("id")))))), 1, k + 1).alias("near")
     )
-    out = members.select("id", "point").join(lists, "point").select("id", F.slice(F.filter("near", lambda n: n["id"] != F.col("id")), 1, k).alias("near"))
+    out = members.join(named, "point").select("id", F.slice(F.filter("near", lambda n: n["id"] != F.col("id")), 1, k).alias("near"))
     return out.select("id", F.explode("near").alias("n")).select("id", F.col("n.id").alias("neighbour"), (-F.col("n.s")).alias("similarity"))
