@@ -1,15 +1,16 @@
 """One spelling for texts that look the same.
 
-Tokens are folded by the character table: a look-alike becomes the letter it is drawn like, an ignorable
-goes, a ligature becomes its pieces. A trie of the folded suspect tokens groups the vocabulary spellings
-that are drawn alike; no edit costs are weighed and nothing beyond the table matches. The canonical spelling
-is the drawn form itself where that is of one script, else the spelling of one script that most texts use
-(ties: the smallest), else the form given by the table.
-
-Only tokens that the table changes or that mix scripts can differ from their canonical spelling, so only
-those enter the vocabulary, counted over all texts. Replacements are shipped in blocks of bounded size;
-texts never leave their partition. Pure ASCII texts are canonical already.
-Defined results: null gives null, blank text gives "".
+Tokens that the look-alike table changes or that mix scripts are the suspects; their spellings, counted over
+all texts, form vocabulary tries. A weighted edit automaton traverses a trie with a token: drawing the same
+(look-alikes, width variants), ignorables on either side and ligatures against their letters cost nothing, any
+other edit costs 1. Within the budget (0 by default: only what looks the same) it yields the vocabulary
+spellings of the token. The canonical spelling is the drawn form itself where that is of one script, else the
+spelling of one script that most texts use (ties: the smallest), else the form given by the table.
+
+A token of one script whose drawn form mixes scripts (most Cyrillic and Greek words) stays as it is unless the
+tries say otherwise, any other suspect falls back to its drawn form; only spellings that differ from this rule
+are shipped to the workers, that is of disguised words, in blocks of bounded size. Texts never leave their
+partition. Pure ASCII texts are canonical already. Defined results: null gives null, blank text gives "".
 """
 from __future__ import annotations
 
@@ -18,7 +19,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,8 @@ from .shared import pairs_within, stripped
 TOKENS = r"[\p{L}\p{M}\p{N}\p{Cf}]+|[^\p{L}\p{M}\p{N}\p{Cf}]+"
 #: Replacements shipped to the workers at once.
 BLOCK = 500_000
-BUCKETS = 64
+#: Suspect tokens that a trie aims at.
+TRIE_TOKENS = 50_000
 
 
 def scripts(token: str) -> set[str]:
@@ -54,35 +55,65 @@ def make_suspect(fold):
     return suspect
 
 
+def pure(token: str) -> bool:
+    """Letters of one script only, in their plain form."""
+    return token.isalpha() and len(scripts(token)) == 1 and unicodedata.normalize("NFKC", token) == token
+
+
+def by_table(token: str, fold) -> str:
+    """The spelling of a suspect that the tries don't decide."""
+    drawn = fold(token)
+    return token if len(scripts(drawn)) > 1 and pure(token) else drawn
+
+
 class Trie:
-    """Vocabulary trie over folded tokens; edges are labelled with the form a character is drawn as."""
+    """Vocabulary trie over decomposed spellings, one edge a character, traversed by a weighted edit automaton."""
 
-    def __init__(self, fold):
-        self.fold, self.root = fold, {}
+    def __init__(self, fold, budget: int = 0):
+        self.fold, self.budget, self.root, self.drawn = fold, budget, ({}, []), {}
 
-    def walk(self, token: str, grow: bool) -> dict | None:
-        """The node of the folded *token*."""
-        node = self.root
-        for ch in self.fold(token):
-            nxt = node.get(ch)
-            if nxt is None:
-                if not grow:
-                    return None
-                nxt = node[ch] = {}
-            node = nxt
-        return node
+    def piece(self, ch: str) -> str:
+        """What an edge is drawn as; nothing for an ignorable."""
+        out = self.drawn.get(ch)
+        if out is None:
+            out = self.drawn[ch] = unicodedata.normalize("NFD", self.fold(ch))
+        return out
 
     def add(self, token: str, n: int) -> None:
-        pure = len(scripts(token)) == 1 and unicodedata.normalize("NFKC", token) == token and token.isalpha()
-        self.walk(token, True).setdefault("", []).append((not pure, -n, token))
+        node = self.root
+        for ch in unicodedata.normalize("NFD", token):
+            node = node[0].setdefault(ch, ({}, []))
+        node[1].append((not pure(token), -n, token))
+
+    def spellings(self, token: str) -> list[tuple[int, bool, int, str]]:
+        """(cost, not of one script, -count, spelling) of the vocabulary spellings within the budget of *token*."""
+        target = unicodedata.normalize("NFD", self.fold(token))
+        out, states, seen = [], [(self.root, 0, 0)], {}
+        while states:
+            node, at, cost = states.pop()
+            if seen.get((id(node), at), self.budget + 1) <= cost:
+                continue
+            seen[id(node), at] = cost
+            if at == len(target):
+                out += [(cost, *entry) for entry in node[1]]
+            for ch, child in node[0].items():
+                drawn = self.piece(ch)
+                if target.startswith(drawn, at):
+                    states.append((child, at + len(drawn), cost))
+                if drawn and cost < self.budget:
+                    states.append((child, at, cost + 1))
+                    if at < len(target):
+                        states.append((child, at + 1, cost + 1))
+            if at < len(target) and cost < self.budget:
+                states.append((node, at + 1, cost + 1))
+        return sorted(out)
 
     def canonical(self, token: str) -> str:
         drawn = self.fold(token)
         if len(scripts(drawn)) < 2:
             return drawn
-        node = self.walk(token, False)
-        impure, _, best = min((node or {}).get("", [(True, 0, drawn)]))
-        return drawn if impure else best
+        found = self.spellings(token)
+        return found[0][3] if found and not found[0][1] else drawn
 
 
 def _suspects(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,20 +123,26 @@ def _suspects(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     suspect = make_suspect(fold)
     for part in parts:
         seen = Counter(t for text in part.column(0).to_pylist() for t in cut.findall(text) if not t.isascii() and suspect(t))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([zlib.crc32(fold(t).encode("utf-8", "surrogatepass")) % BUCKETS for t in seen], pa.int64())], names=["token", "n", "bucket"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([zlib.crc32(fold(t).encode("utf-8", "surrogatepass")) for t in seen], pa.int64())], names=["token", "n", "form"])
 
 
-def _spell(part: pd.DataFrame) -> pd.DataFrame:
-    trie = Trie(make_fold())
-    for token, n in zip(part["token"], part["n"]):
-        trie.add(token, int(n))
-    return pd.DataFrame({"token": part["token"], "spelling": [trie.canonical(t) for t in part["token"]]})
+def _spell(part: pa.Table) -> pa.Table:
+    fold = make_fold()
+    trie, tokens = Trie(fold), part.column("token").to_pylist()
+    for token, n in zip(tokens, part.column("n").to_pylist()):
+        trie.add(token, n)
+    found = [(t, s) for t in tokens if (s := trie.canonical(t)) != by_table(t, fold)]
+    return pa.table({"token": pa.array([t for t, _ in found], pa.string()), "spelling": pa.array([s for _, s in found], pa.string())})
 
 
 def spellings(texts: DataFrame, text: str) -> DataFrame:
-    """(token, spelling) of every suspect token: one trie per bucket of drawn forms, so a class is never divided."""
-    found = texts.select(text).mapInArrow(_suspects, "token string, n bigint, bucket bigint").groupBy("bucket", "token").agg(F.sum("n").alias("n"))
-    return found.groupBy("bucket").applyInPandas(_spell, "token string, spelling string")
+    """(token, spelling) of the suspect tokens whose canonical spelling is not that of the table.
+
+    A class of equal drawn forms is never divided; the number of tries follows the number of suspects.
+    """
+    found = written(texts.select(text).mapInArrow(_suspects, "token string, n bigint, form bigint").groupBy("form", "token").agg(F.sum("n").alias("n")), "suspects")
+    tries = max(1, -(-found.count() // TRIE_TOKENS))
+    return found.groupBy(F.pmod("form", F.lit(tries)).alias("bucket")).applyInArrow(_spell, "token string, spelling string")
 
 
 def canonical_texts(df: DataFrame, text: str, out: str = "canonical") -> DataFrame:
@@ -113,7 +150,7 @@ def canonical_texts(df: DataFrame, text: str, out: str = "canonical") -> DataFra
     src = df.withColumn(out, stripped(F.col(text)))
     plain = F.col(out).isNull() | ~F.col(out).rlike(r"[^\x00-\x7F]")
     odd = src.filter(~plain)
-    changed = written(spellings(odd, out).filter("token <> spelling"), "spellings")
+    changed = written(spellings(odd, out), "spellings")
     blocks = max(1, -(-changed.count() // BLOCK))
     place = odd.columns.index(out)
     schema = odd.schema
@@ -121,12 +158,22 @@ def canonical_texts(df: DataFrame, text: str, out: str = "canonical") -> DataFra
         block = changed if blocks == 1 else changed.filter(F.pmod(F.xxhash64("token"), F.lit(blocks)) == n)
         shipped = df.sparkSession.sparkContext.broadcast({r["token"]: r["spelling"] for r in block.toLocalIterator()})
 
-        def replace(parts: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+        def replace(parts: Iterator[pa.RecordBatch], shipped=shipped, last=n == blocks - 1) -> Iterator[pa.RecordBatch]:
             import regex
 
-            cut, known = regex.compile(TOKENS), shipped.value
+            cut, known, fold = regex.compile(TOKENS), shipped.value, make_fold()
+            suspect, spelled = make_suspect(fold), {}
+
+            def spell(token: str) -> str:
+                new = spelled.get(token)
+                if new is None:
+                    if len(spelled) > 300_000:
+                        spelled.clear()
+                    new = spelled[token] = known.get(token) or (by_table(token, fold) if last and suspect(token) else token)
+                return new
+
             for part in parts:
-                texts = [t if t.isascii() else "".join(known.get(x, x) for x in cut.findall(t)) for t in part.column(place).to_pylist()]
+                texts = [t if t.isascii() else "".join(map(spell, cut.findall(t))) for t in part.column(place).to_pylist()]
                 yield part.set_column(place, part.schema.field(place), pa.array(texts, part.schema.field(place).type))
 
         odd = odd.mapInArrow(replace, schema)

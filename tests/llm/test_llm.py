@@ -273,3 +273,25 @@ def test_bands_and_bounds():
         for t in range(-(-4 * s // 5), s + 1):
             # The most differences at the least overlap.
             assert nearpass._allowed(s, t, Fraction(4, 5)) == s + t - 2 * -(-4 * s // 5) >= 0
+
+
+def test_edit_automaton_weights():
+    from attestia.functions.fold import make_fold
+
+    fold = make_fold()
+    for budget, want in ((0, {"мир"}), (1, {"мир", "мор", "мира"})):
+        trie = canon.Trie(fold, budget)
+        for token, n in (("мир", 5), ("мор", 2), ("мира", 1), ("другой", 9)):
+            trie.add(token, n)
+        # Latin p for Cyrillic р, a zero-width joiner inside.
+        got = trie.spellings("ми‍p")
+        assert {t for *_, t in got} == want and got[0][::3] == (0, "мир")
+    trie = canon.Trie(fold)
+    trie.add("ﬁn", 1)
+    trie.add("f­in", 1)
+    assert {t for *_, t in trie.spellings("fin")} == {"ﬁn", "f­in"}
+    # A disguised word takes the spelling most texts use, an honest one stays.
+    trie = canon.Trie(fold)
+    for token, n in (("кот", 7), ("кoт", 1)):
+        trie.add(token, n)
+    assert trie.canonical("кoт") == trie.canonical("кот") == "кот" == canon.by_table("кот", fold) != canon.by_table("кoт", fold)
