@@ -119,21 +119,14 @@ class Index:
 
     def vectors(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, feature, weight) of unit TF-IDF vectors."""
-        rows, features, counts, strange = [], [], [], np.zeros(len(texts))
-        known = self.features
-        for n, text in enumerate(texts):
-            unknown = 0
-            for f, c in Counter(text).items():
-                i = known.get(f)
-                if i is not None:
-                    rows.append(n)
-                    features.append(i)
-                    counts.append(c)
-                elif f[-1] != "_" and " " not in f:
-                    unknown += 1
-            strange[n] = unknown
-        rows, features = np.array(rows, dtype=np.int64), np.array(features, dtype=np.int64)
-        weights = (1 + np.log(np.array(counts, dtype=np.float64))) * self.idf[features]
+        known, sizes = self.features, [len(t) for t in texts]
+        found = np.array([known.get(f, -1) for t in texts for f in t], dtype=np.int64)
+        whose = np.repeat(np.arange(len(texts)), sizes)
+        # Distinct unknown words; pairs and beginnings of words don't count.
+        strange = np.array([len({f for f in t if f not in known and f[-1] != "_" and " " not in f}) for t in texts], dtype=np.float64)
+        cell, counts = np.unique(whose[found >= 0] * (len(known) + 1) + found[found >= 0], return_counts=True)
+        rows, features = cell // (len(known) + 1), cell % (len(known) + 1)
+        weights = (1 + np.log(counts)) * self.idf[features]
         # Unknown words count in the length, as rare as words of one example.
         norm = np.sqrt(np.bincount(rows, weights * weights, len(texts)) + 9.0 * strange)
         return rows, features, weights / np.maximum(norm[rows], 1e-12)
@@ -153,8 +146,7 @@ class Index:
         best = bound.argmax(1) if len(texts) else np.zeros(0, dtype=np.int64)
         todo[np.arange(len(texts)), best] = bound[np.arange(len(texts)), best] > 0
         self.met += int((bound > 0).sum())
-        done = np.zeros_like(todo)
-        at_once = 1
+        done, least, at_once = np.zeros_like(todo), np.zeros(len(texts)), 1
         while todo.any():
             self.read += int(todo.sum())
             some = np.flatnonzero(todo.ravel()[slot])
@@ -165,13 +157,15 @@ class Index:
             done |= todo
             if skip is not None:
                 sims[np.arange(len(texts)), skip] = 0
-            least = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] > k else np.zeros(len(texts))
             # The blocks that may still hold one of the k, the most promising of each text next.
-            rest = np.where((bound >= least[:, None] - 1e-12) & ~done, bound, 0)
-            at_once *= 3
+            live = np.flatnonzero(todo.any(1))
+            least[live] = np.partition(sims[live], -k, axis=1)[:, -k] if sims.shape[1] > k else 0
+            rest = np.where((bound[live] >= least[live, None] - 1e-12) & ~done[live], bound[live], 0)
+            at_once *= 4
             if at_once < self.blocks:
                 rest[rest < np.partition(rest, -at_once, axis=1)[:, -at_once][:, None]] = 0
-            todo = rest > 0
+            todo = np.zeros_like(done)
+            todo[live] = rest > 0
         width = min(k, sims.shape[1])
         # The k greatest, then ties by number.
         near = np.argpartition(-sims - 1e-13 * np.arange(sims.shape[1], 0, -1), width - 1, axis=1)[:, :width]
