@@ -28,12 +28,12 @@ class Engine:
     def documents(self) -> DataFrame:
         return latest(table(self.spark, self.folder, "kb_documents"), "document_id", "created_at")
 
-    def extract(self, answers: DataFrame, limit: int = 15) -> DataFrame:
+    def extract(self, answers: DataFrame, limit: int | str = 15) -> DataFrame:
         """Claim rows of new answers (task_id, input_text)."""
         return extraction.extracted(answers, "task_id", "input_text", limit)
 
     def verdicts(self) -> DataFrame:
-        return judging.verdicts(self.claims(), self.evidence())
+        return judging.verdicts(self.claims(), self.evidence(), extraction.parts_of_claims(self.claims()))
 
     def summaries(self) -> DataFrame:
         return judging.coverage(self.claims(), self.tasks())
@@ -52,7 +52,7 @@ class Engine:
         chunks = table(self.spark, self.folder, "kb_chunks").select("chunk_id", "document_id", F.get_json_object("data", "$.excerpt").alias("excerpt"))
         if tag is not None:
             chunks = chunks.join(self.documents().filter(F.array_contains("tags", tag)).select("document_id"), "document_id", "left_semi")
-        return retrieval.bm25(queries, "query_id", "query", chunks, "chunk_id", "excerpt", min(max(limit, 1), 20))
+        return retrieval.bm25(queries, "query_id", "query", chunks, "chunk_id", "excerpt", min(max(limit, 1), 20), normalize=True)
 
     def import_(self, new: DataFrame) -> DataFrame:
         """The documents of *new* whose body is not stored yet."""

@@ -8,20 +8,43 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Words that are no search terms.
-STOP = ("the", "a", "an", "and", "or", "of", "in", "on", "at", "to", "for", "is", "are", "was", "were", "be", "by", "with", "that", "this", "it", "as", "from")
-_TERM = r"[A-Za-z0-9]+(?:[-_/][A-Za-z0-9]+)*|[一-龥]+"
+# Latin words and Chinese words that are no search terms.
+STOP = ("the", "is", "of", "in", "on", "a", "an", "and", "to", "for", "with", "by", "from", "are", "be")
+CJK_STOP = ("的", "是", "在", "于", "为", "和", "与", "及", "了")
+TERM = r"[A-Za-z][A-Za-z0-9]*(?:[-_/][A-Za-z0-9]+)*|\d+(?:[.,]\d+)?%?|[㐀-鿿]+"
+#: White space at either end, of any kind.
+_OUTER = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+OUTER = f"^{_OUTER}|{_OUTER}$"
+#: A clause with its mark; brackets, titles and numbers are passed over whole.
+CLAUSE = r"(?:《[^《》]*》|（[^（）]*）|\([^()]*\)|\[[^\[\]]*\]|【[^【】]*】|\d+(?:[，,；;]\d+)*|[^，,；;])+[，,；;]?"
 
 
-def terms(text: Column) -> Column:
-    """Distinct search terms in order: lower-cased identifiers of two signs or more, and pairs of neighbouring Chinese characters.
+@F.arrow_udf(StringType())
+def nfkc(text: pa.Array) -> pa.Array:
+    """Unicode NFKC, which Spark has no function for."""
+    return pa.array([None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
 
-    Null gives an empty list.
+
+def terms(text: Column, normalize: bool = False) -> Column:
+    """Distinct search terms in order: identifiers and numbers of two signs or more, Chinese runs of one or two characters
+    and the pairs of longer ones; no stop words.
+
+    Lower case, so that equal terms meet. Null gives an empty list. *normalize* puts the text in NFKC first, which needs
+    Python; without it everything stays in the JVM and the text counts as it is stored.
     """
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TERM), F.lit(0))
+    form = F.coalesce(nfkc(text) if normalize else text, F.lit(""))
+    runs = F.regexp_extract_all(F.lower(form), F.lit(TERM), F.lit(0))
     pairs = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(r) - 1, F.lit(1))), lambda i: F.substr(r, i, F.lit(2)))
-    split = F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^[一-龥]"), pairs(r)).otherwise(F.array(r))))
-    return F.array_distinct(F.filter(split, lambda t: (F.char_length(t) > 1) & ~t.isin(*STOP)))
+    wide = lambda r: r.rlike("^[㐀-鿿]")
+    split = F.flatten(F.transform(runs, lambda r: F.when(wide(r), pairs(r)).otherwise(F.array(r))))
+    return F.array_distinct(F.filter(split, lambda t: F.when(wide(t), ~t.isin(*CJK_STOP)).otherwise((F.char_length(t) > 1) & ~t.isin(*STOP))))
+
+
+def clause_parts(text: Column, most: int = 8) -> Column:
+    """The clauses of a claim that evidence has to cover, cut after commas and semicolons outside brackets and numbers; the last holds all beyond *most*."""
+    cut = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CLAUSE), F.lit(0)), lambda p: F.regexp_replace(p, OUTER, ""))
+    parts = F.filter(cut, lambda p: p != "")
+    return F.when(F.size(parts) > most, F.concat(F.slice(parts, 1, most - 1), F.array(F.array_join(F.slice(parts, F.lit(most), F.size(parts)), "")))).otherwise(parts)
 
 
 def utf16_length(text: Column) -> Column:
@@ -42,19 +65,12 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def without_markup(text: Column) -> Column:
-    """Links to their text, list and heading signs off, paired emphasis off, white space collapsed."""
-    out = F.regexp_replace(text, r"\[([^\]\n]+)\](?:\([^)\n]*\)|\[[^\]\n]*\])", "$1")
-    out = F.regexp_replace(out, r"(?m)^\s*(?:#{1,6}\s+|[-*+•]\s+|\d{1,3}[.)]\s+)", "")
-    for mark in (r"\*\*", "__", "~~", "`", r"\*"):
-        out = F.regexp_replace(out, rf"{mark}([^\s*_~`](?:[^\n]*?[^\s*_~`])?){mark}", "$1")
-    return collapse(out)
-
-
 @F.arrow_udf(StringType())
-def nfkc(text: pa.Array) -> pa.Array:
-    """Unicode NFKC, which Spark has no function for."""
-    return pa.array([None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
+def plain(text: pa.Array) -> pa.Array:
+    """NFKC text without Markdown presentation, as claims are normalized."""
+    from .claims import plain as one
+
+    return pa.array([None if t is None else one(t) for t in text.to_pylist()], pa.string())
 
 
 def markdown_escaped(text: Column) -> Column:

@@ -6,34 +6,58 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
-from attestia.functions.claims import cited, conditions, grounded, kind_of, named, passage, plain, statements, units_before
+from attestia.functions import atoms
+from attestia.functions.claims import cited, conditions, grounded, kind_of, named, passage, units_before
 
-CLAIMS = "task_id string, number int, found int, source_text string, char_start int, char_end int, claim_type string, normalized_claim string, entities array<string>, conditions array<string>"
+CLAIMS = (
+    "claim_id string, task_id string, number int, found int, source_text string, char_start int, char_end int, claim_type string, normalized_claim string, "
+    "entities array<string>, conditions array<string>, label string, state string, unchecked_reason string"
+)
 
 
-def extracted(answers: DataFrame, key: str, text: str, limit: int = 15) -> DataFrame:
-    """Claim rows of every answer: at most *limit*, with the number found; offsets in UTF-16 units of the stripped text.
+def extracted(answers: DataFrame, key: str, text: str, limit: int | str = 15) -> DataFrame:
+    """Atomic claim rows of every answer: at most *limit* (a number or a column), with the number found; offsets in
+    UTF-16 units of the stripped text.
 
-    Null and blank answers give no row; repeated rows are read once each, so deliver one row a key.
+    References are resolved within their paragraph; a claim that still begins with one is 'unchecked'. Opinions are
+    'not_applicable'. The id is a digest of task, number and source, so a recomputed row keeps it. Null and blank
+    answers and limits of 0 give no row, a null limit is 15; repeated rows are read once each, so deliver one row a key.
     """
+    import hashlib
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows = []
-            for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            for k, t, most in zip(*(c.to_pylist() for c in part.columns)):
                 t = (t or "").strip()
-                spans = statements(t)
-                for n, (a, b) in enumerate(spans[:limit], 1):
-                    form = plain(t[a:b])
-                    start = units_before(t, a)
-                    rows.append((k, n, len(spans), t[a:b], start, start + units_before(t[a:b], b - a), kind_of(form), form, named(form), conditions(form)))
-            cols = list(zip(*rows)) or [()] * 10
-            types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[f.split(" ")[0] for f in CLAIMS.split(", ")])
-
-    return answers.select(F.col(key).cast("string"), F.col(text)).mapInArrow(run, CLAIMS)
+                found = atoms.atoms(t)
+                for n, c in enumerate(atoms.resolved(t, found[: max(0, 15 if most is None else most)]), 1):
+                    start, kind = units_before(t, c.start), kind_of(c.normalized)
+                    name = "c_" + hashlib.sha256(f"{k}\0{n}\0{c.source}".encode("utf-8", "surrogatepass")).hexdigest()[:32]
+                    lost = atoms.unresolved(c.source, c.normalized)
+                    rows.append((
+                        name, k, n, len(found), c.source, start, start + units_before(c.source, len(c.source)), kind, c.normalized, named(c.normalized), conditions(c.normalized),
+                        "not_applicable" if kind == "opinion" else None, "unchecked" if lost else "pending", "unresolved_reference" if lost else None,
+                    ))
+            names = [f.split(" ")[0] for f in CLAIMS.split(", ")]
+            types = [{"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}[f.split(" ")[1]] for f in CLAIMS.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(names), types)], names=names)
+
+    most = F.col(limit) if isinstance(limit, str) else F.lit(limit)
+    return answers.select(F.col(key).cast("string"), F.col(text), most.cast("int")).mapInArrow(run, CLAIMS)
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def judgment_parts(text: pa.Array) -> pa.Array:
+    """The facts of a claim that must each be shown; null and blank claims have none."""
+    return pa.array([atoms.judgment_parts(t) for t in text.to_pylist()], pa.list_(pa.string()))
+
+
+def parts_of_claims(claims: DataFrame) -> DataFrame:
+    """(claim_id, part_id from 1, part_text) of every claim."""
+    return claims.select("claim_id", F.posexplode(judgment_parts("normalized_claim")).alias("n", "part_text")).select("claim_id", (F.col("n") + 1).alias("part_id"), "part_text")
 
 
 @F.arrow_udf(StringType())

@@ -1,7 +1,8 @@
 """Keyword, vector and hybrid search over tables of queries and passages.
 
 Scale: postings are one row a (passage, term); only terms that a query has are kept, by a semi-join
-on the term; document frequencies and lengths are aggregated with map-side combine. Ranking is per query
+on the term; document frequencies and lengths are aggregated with map-side combine. Postings meet the query
+terms on (term, salt), so a frequent term of many queries is spread over SALTS tasks. Ranking is per query
 with a window that Spark prunes to the wanted ranks before the shuffle. Null texts have no terms.
 """
 from __future__ import annotations
@@ -15,8 +16,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from attestia.functions.text import terms
 
 # Fixed values of the ranking.
-K1, B, RRF, PER_CHANNEL, PER_DOCUMENT = 1.2, 0.75, 60, 40, 2
+K1, B, RRF, PER_CHANNEL, PER_DOCUMENT, MOST_TERMS = 1.2, 0.75, 60, 40, 2, 64
 BLOCK = 5_000
+SALTS = 8
 
 
 def postings(passages: DataFrame, key: str, text: str) -> DataFrame:
@@ -24,10 +26,10 @@ def postings(passages: DataFrame, key: str, text: str) -> DataFrame:
     return passages.select(key, terms(F.col(text)).alias("t")).select(key, F.size("t").alias("length"), F.explode("t").alias("term"))
 
 
-def bm25(queries: DataFrame, query_key: str, query_text: str, passages: DataFrame, key: str, text: str, top: int) -> DataFrame:
+def bm25(queries: DataFrame, query_key: str, query_text: str, passages: DataFrame, key: str, text: str, top: int, normalize: bool = False) -> DataFrame:
     """(query_key, key, score, rank): the *top* passages of each query; ties by key."""
-    sized = passages.select(key, terms(F.col(text)).alias("t")).withColumn("length", F.size("t"))
-    asked = queries.select(query_key, F.explode(terms(F.col(query_text))).alias("term"))
+    sized = passages.select(key, terms(F.col(text), normalize).alias("t")).withColumn("length", F.size("t"))
+    asked = queries.select(query_key, F.slice(terms(F.col(query_text), normalize), 1, MOST_TERMS).alias("t")).select(query_key, F.explode("t").alias("term"))
     # Two totals of the collection: one row, so the join sends one row.
     totals = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     post = sized.select(key, "length", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
@@ -35,12 +37,14 @@ def bm25(queries: DataFrame, query_key: str, query_text: str, passages: DataFram
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weights = asked.join(df, "term").join(F.broadcast(totals)).select(query_key, "term", "mean", idf.alias("idf"))
     part = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scores = post.join(weights, "term").groupBy(query_key, key).agg(F.round(F.sum(part), 6).alias("score"))
+    weights = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = post.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    scores = spread.join(weights, ["term", "salt"]).groupBy(query_key, key).agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(scores, query_key, key, top)
 
 
-def ranked(scores: DataFrame, query_key: str, key: str, top: int) -> DataFrame:
-    w = Window.partitionBy(query_key).orderBy(F.col("score").desc(), F.col(key))
+def ranked(scores: DataFrame, query_key: str, key: str, top: int, ties: str = "asc") -> DataFrame:
+    w = Window.partitionBy(query_key).orderBy(F.col("score").desc(), F.col(key).desc() if ties == "desc" else F.col(key))
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
@@ -49,7 +53,7 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_topk(queries: DataFrame, query_key: str, query_vector: str, passages: DataFrame, key: str, vector: str, top: int, least: float) -> DataFrame:
+def vector_topk(queries: DataFrame, query_key: str, query_vector: str, passages: DataFrame, key: str, vector: str, top: int, least: float, ties: str = "asc") -> DataFrame:
     """(query_key, key, score, rank) by inner product of unit vectors, scores of *least* or more.
 
     A stated set of queries against all passages, in blocks of BLOCK queries: a block is one matrix shipped to the
@@ -65,7 +69,7 @@ def vector_topk(queries: DataFrame, query_key: str, query_vector: str, passages:
         block = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == n)
         some = passages.select(key, vector).mapInArrow(_scorer([(r[0], r[1]) for r in block.toLocalIterator()], top, least, [query_key, key, "score"], to_arrow_type(asked.schema[query_key].dataType)), schema)
         out = some if out is None else out.unionByName(some)
-    return ranked(out, query_key, key, top)
+    return ranked(out, query_key, key, top, ties)
 
 
 def _scorer(asked: list[tuple], top: int, least: float, names: list[str], keys: pa.DataType):

@@ -11,12 +11,20 @@ from .judging import _claims, _evidence, _tasks
 
 
 def claim_extraction(spark, d):
-    return X.extracted(_tasks(spark, d), "task_id", "input_text")
+    """Atomic claims of every task within its own limit."""
+    return X.extracted(_tasks(spark, d), "task_id", "input_text", "claim_limit")
 
 
 def extraction_summary(spark, d):
-    """Claims found and kept of each task, by kind."""
-    return claim_extraction(spark, d).groupBy("task_id").agg(F.max("found").alias("found"), F.count("*").alias("kept"), F.count_if(F.col("claim_type") == "opinion").alias("opinions"))
+    """Claims found and kept of each task, its opinions and unresolved references, and whether some were left out."""
+    return claim_extraction(spark, d).groupBy("task_id").agg(
+        F.max("found").alias("found"), F.count("*").alias("kept"), F.count_if(F.col("claim_type") == "opinion").alias("opinions"),
+        F.count_if(F.col("state") == "unchecked").alias("unresolved"), (F.max("found") > F.count("*")).alias("truncated"))
+
+
+def atomic_parts(spark, d):
+    """The facts of each claim that must be shown, atomic claims told apart."""
+    return X.parts_of_claims(_claims(spark, d))
 
 
 def grounded_checks(spark, d):
@@ -32,5 +40,5 @@ def evidence_passages(spark, d):
     return r.select("result_id", X.best_passage(F.col("content"), F.col("t")).alias("passage"))
 
 
-QUERIES = {f.__name__: f for f in (claim_extraction, extraction_summary, grounded_checks, evidence_passages)}
+QUERIES = {f.__name__: f for f in (claim_extraction, extraction_summary, atomic_parts, grounded_checks, evidence_passages)}
 SQL: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestia.functions.text import STOP, terms
+from attestia.functions.text import CJK_STOP, STOP, terms
 from attestia.operators import retrieval as R
 from attestia.operators.versions import latest
 from attestia.session import table
@@ -26,6 +26,11 @@ def claim_terms(spark, d):
     return table(spark, d, "claims").select("claim_id", F.array_sort(terms(F.col("normalized_claim"))).alias("terms")).distinct()
 
 
+def normal_terms(spark, d):
+    """Search terms of the claims in NFKC, as the engine's own search counts them."""
+    return table(spark, d, "claims").select("claim_id", terms(F.col("normalized_claim"), normalize=True).alias("terms")).distinct()
+
+
 def topic_coverage(spark, d):
     """Share of a claim's terms that an evidence excerpt holds."""
     c = latest(table(spark, d, "claims"), "claim_id", "retry_count").select("claim_id", terms(F.col("normalized_claim")).alias("t")).filter(F.size("t") > 0)
@@ -80,7 +85,7 @@ def _channels(spark, d):
     usable = c.filter((F.col("embedding_model") == "lattice-base-64") & (F.size("embedding") == 64) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)))
     top = table(spark, d, "kb_hits").filter("hit_rank = 1").select("query_id", "chunk_id").distinct()
     vectors = top.join(usable.select("chunk_id", "embedding"), "chunk_id").select("query_id", F.col("embedding").alias("q"))
-    return c, R.bm25(_asked(spark, d), "query_id", "query", c, "chunk_id", "excerpt", 40), R.vector_topk(vectors, "query_id", "q", usable, "chunk_id", "embedding", 40, 0.5)
+    return c, R.bm25(_asked(spark, d), "query_id", "query", c, "chunk_id", "excerpt", 40), R.vector_topk(vectors, "query_id", "q", usable, "chunk_id", "embedding", 40, 0.5, ties="desc")
 
 
 def hybrid_search(spark, d):
@@ -102,13 +107,13 @@ def logged_fusion(spark, d):
     return h.groupBy("query_id").agg(F.count("*").alias("hits"), F.count_if(F.size("matched_by") > 1).alias("both"), F.round(F.max("retrieval_score"), 6).alias("best"))
 
 
-QUERIES = {f.__name__: f for f in (claim_terms, topic_coverage, kb_duplicates, kb_status, kb_listing, kb_tags, chunk_gaps, bm25_topk, vector_topk, hybrid_search, tag_search, logged_fusion)}
+QUERIES = {f.__name__: f for f in (claim_terms, normal_terms, topic_coverage, kb_duplicates, kb_status, kb_listing, kb_tags, chunk_gaps, bm25_topk, vector_topk, hybrid_search, tag_search, logged_fusion)}
 
 
 def _terms(x: str) -> str:
-    runs = f"regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+(?:[-_/][a-z0-9]+)*|[一-龥]+')"
-    split = f"flatten(list_transform({runs}, lambda r: CASE WHEN regexp_matches(r, '^[一-龥]') THEN list_transform(range(1, greatest(length(r) - 1, 1) + 1), lambda i: substr(r, i, 2)) ELSE [r] END))"
-    return f"list_distinct(list_filter({split}, lambda t: length(t) > 1 AND t NOT IN {STOP}))"
+    runs = f"regexp_extract_all(lower(coalesce({x}, '')), '[a-z][a-z0-9]*(?:[-_/][a-z0-9]+)*|[0-9]+(?:[.,][0-9]+)?%?|[㐀-鿿]+')"
+    split = f"flatten(list_transform({runs}, lambda r: CASE WHEN regexp_matches(r, '^[㐀-鿿]') THEN list_transform(range(1, greatest(length(r) - 1, 1) + 1), lambda i: substr(r, i, 2)) ELSE [r] END))"
+    return f"list_distinct(list_filter({split}, lambda t: CASE WHEN regexp_matches(t, '^[㐀-鿿]') THEN t NOT IN {CJK_STOP} ELSE length(t) > 1 AND t NOT IN {STOP} END))"
 
 
 DOCS = "docs AS (SELECT * EXCLUDE (_n) FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC NULLS LAST) AS _n FROM kb_documents) WHERE _n = 1)"
@@ -137,7 +142,7 @@ SELECT evidence_id, hits, round(hits / n, 6) AS share FROM j""",
     "vector_topk": "WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p WHERE score >= 0.3) WHERE rank <= 10",
     "hybrid_search": f"""WITH {CHUNKS}, {_bm25('ch', 40)}, us AS (SELECT * FROM ch WHERE embedding_model = 'lattice-base-64' AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0),
 qv AS (SELECT DISTINCT query_id, chunk_id FROM kb_hits WHERE hit_rank = 1), p AS (SELECT query_id, v.chunk_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM qv JOIN us q USING (chunk_id), us v),
-ve AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM p WHERE score >= 0.5) WHERE rank <= 40),
+ve AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC)::INT AS rank FROM p WHERE score >= 0.5) WHERE rank <= 40),
 u AS (SELECT query_id, chunk_id, rank, 0 AS o, 'keyword' AS channel FROM bm UNION ALL SELECT query_id, chunk_id, rank, 1, 'semantic' FROM ve),
 f AS (SELECT query_id, chunk_id, document_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, list(channel ORDER BY o) AS matched_by FROM u JOIN ch USING (chunk_id) GROUP BY 1, 2, 3),
 g AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, chunk_id) AS r FROM f)
