@@ -32,12 +32,28 @@ DEGREE, BEAM, PROBES, ALPHA = 20, 40, 7, 1.2
 def usable(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
     """(id, v, point): the stored vectors that have *size* finite values which aren't all zero; equal directions are one point."""
     kind = "array<double>" if dict(df.dtypes)[vector] == "array<double>" else "array<float>"
-    x = df.select(F.col(key).cast("string").alias("id"), F.col(vector).cast(kind).alias("v"))
-    ok = (F.size("v") == size) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    x = x.filter(F.col("id").isNotNull() & F.coalesce(ok, F.lit(False))).withColumn("peak", F.array_max(F.transform("v", F.abs)).cast("double")).filter("peak > 0")
-    x = x.withColumn("unit", F.transform("v", lambda e: e.cast("double") / F.col("peak"))).withColumn("norm", F.sqrt(F.aggregate("unit", F.lit(0.0), lambda a, e: a + e * e)))
-    # + 0.0 makes a negative zero a plain one.
-    return x.select("id", "v", F.xxhash64(F.transform("unit", lambda e: F.round(e / F.col("norm"), 7) + F.lit(0.0))).alias("point"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd = np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            lengths = np.array(batch.column(1).value_lengths().fill_null(-1))
+            some = np.flatnonzero((lengths == size) & np.array(batch.column(0).is_valid()))
+            batch = batch.take(pa.array(some))
+            X = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(some), size)
+            good = np.isfinite(X).all(1) & (X != 0).any(1) if len(some) else np.zeros(0, dtype=bool)
+            batch, X = batch.filter(pa.array(good)), X[good]
+            if not len(X):
+                continue
+            X = X / np.abs(X).max(1, keepdims=True)
+            steps = np.round(X / np.linalg.norm(X, axis=1, keepdims=True) * 1e7).astype(np.int64).view(np.uint64)
+            with np.errstate(over="ignore"):
+                x = (steps + odd * np.arange(1, size + 1, dtype=np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+                point = (x ^ (x >> np.uint64(32))).sum(1, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(point.view(np.int64))], names=["id", "v", "point"])
+
+    # A null element reads as not a number.
+    return df.select(F.col(key).cast("string").alias("id"), F.col(vector).cast(kind).alias("v")).filter("v IS NOT NULL").mapInArrow(run, f"id string, v {kind}, point bigint")
 
 
 def centres(sample: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
