@@ -1,4 +1,4 @@
-"""Connected components by alternating star contractions, for graphs of any size."""
+"""Connected components by least labels and pointer jumping, for graphs of any size."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -35,4 +35,12 @@ def linked_by_keys(rows: DataFrame, node: str, keys: list[str]) -> DataFrame:
     for n, k in enumerate(keys):
         edges = edges.unionByName(rows.filter(F.coalesce(F.col(k), F.lit("")) != "").select(F.col("_node").alias("a"), F.concat(F.lit(f"{n + 1}"), F.col(k)).alias("b")))
     out = components(edges)
-    return out.filter(F.col("node").startswith("0")).select(F.substring("node", 2, 10_000).alias(node), F.substring("component", 2, 10_000).alias("component"))
+    return out.filter(F.col("node").startswith("0")).select(F.substr(F.col("node"), F.lit(2)).alias(node), F.substr(F.col("component"), F.lit(2)).alias("component"))
+
+
+def linked_within(rows: DataFrame, group: str, node: str, keys: list[str]) -> DataFrame:
+    """(group, node, component): like linked_by_keys, but keys of one *group* only link nodes of that group."""
+    inside = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.col(group), F.lit("\x00"), F.col(c)))
+    named = rows.select(group, node, inside(node).alias("_id"), *[inside(k).alias(f"_k{n}") for n, k in enumerate(keys)])
+    found = linked_by_keys(named.select("_id", *[f"_k{n}" for n in range(len(keys))]), "_id", [f"_k{n}" for n in range(len(keys))])
+    return named.select(group, node, "_id").distinct().join(found, "_id").drop("_id")
