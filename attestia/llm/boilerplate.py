@@ -127,7 +127,8 @@ def make_judge():
                 continue
             bare = text.rstrip(":： ")
             opens = bool(related.fullmatch(bare) and not ends.search(bare))
-            continued = bounded and not waiting and common is not None and common[n - 1]
+            # A title is no continuation: what it is depends on its slot.
+            continued = bounded and not labelled and not waiting and common is not None and common[n - 1] and not headline(text)
             if opens or is_nav(text) or is_furniture(text) or flags[n - 1] or continued:
                 out += [*waiting, n]
                 teasers, bounded, labelled, waiting = teasers or opens, True, bool(label.fullmatch(bare)), []

@@ -295,3 +295,25 @@ def test_edit_automaton_weights():
     for token, n in (("кот", 7), ("кoт", 1)):
         trie.add(token, n)
     assert trie.canonical("кoт") == trie.canonical("кот") == "кот" == canon.by_table("кот", fold) != canon.by_table("кoт", fold)
+
+
+def test_sentences_without_marks(spark):
+    # What begins and ends sentences is learnt from the punctuated texts of the same language.
+    subjects, verbs, ends = ("the mayor", "the old baker", "nobody", "she", "every farmer"), ("sold", "painted", "closed", "found"), ("the mill", "a bridge", "the harbour", "an organ")
+    rng = random.Random(4)
+    one = lambda: f"{rng.choice(subjects)} {rng.choice(verbs)} {rng.choice(ends)} {rng.choice(('yesterday', 'last spring', 'again'))}"
+    texts = [". ".join((x := one())[0].upper() + x[1:] for _ in range(4)) + "." for _ in range(300)]
+    kana = [("ねこがさかなをたべました", "いぬはそとでねむります", "とりがそらをとびました")[n % 3] + "。" for n in range(300)]
+    plain = [one() for _ in range(5)]
+    texts += ["".join(kana[:3])] * 100 + [" ".join(plain), "ねこがさかなをたべました" + "いぬはそとでねむります", "a heading of many words in a row that is no more than the title of one long report on the mill"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got: dict = {}
+    for r in sentences.sentences(df, "k", "t").collect():
+        got.setdefault(r.k, []).append((r.char_start, texts[r.k][r.char_start : r.char_end]))
+    n = len(texts)
+    assert [t for _, t in sorted(got[n - 3])] == plain
+    assert [t for _, t in sorted(got[n - 2])] == ["ねこがさかなをたべました", "いぬはそとでねむります"]
+    # Brand names, dialogue and units of one letter.
+    model = sentences.EventModel()
+    cut = lambda t: [t[a:b] for a, b in sentences.spans(t, model)]
+    assert cut("It melts at 71 K. The end. eVasa sold it. —¿Dónde? —dijo Ann. Γιατί; Ο κ. Παπάς.") == ["It melts at 71 K.", "The end.", "eVasa sold it.", "—¿Dónde? —dijo Ann.", "Γιατί;", "Ο κ. Παπάς."]
