@@ -50,7 +50,8 @@ _FRACTIONS = {"½": Fraction(1, 2), "¼": Fraction(1, 4), "¾": Fraction(3, 4)}
 def conversions(targets: dict[str, str], edges=EDGES) -> dict[str, tuple[str, Fraction, Fraction]]:
     """unit -> (dimension, factor, offset) by the shortest path to the common unit of its dimension.
 
-    *targets*: dimension -> common unit. Raises ValueError where two paths disagree.
+    *targets*: dimension -> common unit. Raises ValueError where two paths disagree, in factor or offset, by more than
+    rounding; units that no target reaches are checked among themselves.
     """
     graph: dict[str, list[tuple[str, Fraction, Fraction]]] = {}
     for a, b, factor, offset in edges:
@@ -58,8 +59,9 @@ def conversions(targets: dict[str, str], edges=EDGES) -> dict[str, tuple[str, Fr
         # x_b = f x_a + o, so coming from b: x_a = (x_b - o) / f. Walking out from the target composes target(x).
         graph.setdefault(b, []).append((a, f, o))
         graph.setdefault(a, []).append((b, 1 / f, -o / f))
-    out: dict[str, tuple[str, Fraction, Fraction]] = {}
-    for dimension, common in targets.items():
+    close = lambda x, y: abs(x - y) <= max(abs(x), abs(y), 1) * Fraction(1, 10**9)
+
+    def walk(common: str) -> dict[str, tuple[Fraction, Fraction]]:
         found, queue = {common: (Fraction(1), Fraction(0))}, deque([common])
         while queue:
             unit = queue.popleft()
@@ -69,9 +71,14 @@ def conversions(targets: dict[str, str], edges=EDGES) -> dict[str, tuple[str, Fr
                 if nxt not in found:
                     found[nxt] = way
                     queue.append(nxt)
-                elif found[nxt] != way and abs(found[nxt][0] / way[0] - 1) > Fraction(1, 10**9):
+                elif not close(found[nxt][0] / way[0], Fraction(1)) or not close(found[nxt][1], way[1]):
                     raise ValueError(f"conversions of {nxt} to {common} disagree")
-        out |= {u: (dimension, f, o) for u, (f, o) in found.items()}
+        return found
+
+    out = {u: (dimension, f, o) for dimension, common in targets.items() for u, (f, o) in walk(common).items()}
+    rest = set(graph) - set(out)
+    while rest:
+        rest -= set(walk(min(rest)))
     return out
 
 

@@ -47,18 +47,33 @@ def source_authority(kind: Column) -> Column:
     return out
 
 
+# Names of metadata services, and the address ranges that are not public.
+METADATA_HOSTS = ("metadata.google.internal", "metadata.google.com", "metadata.azure.com", "169.254.169.254", "100.100.100.200")
+PRIVATE = (
+    r"^(?:0\.|10\.|127\.|100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|169\.254\.|172\.(?:1[6-9]|2\d|3[01])\.|192\.0\.[02]\.|192\.88\.99\.|192\.168\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|22[4-9]\.|2[3-5]\d\.)[\d.]+$"
+)
+PRIVATE_V6 = r"^(?:::|::1|(?:0{1,4}:){7}0{0,3}1|::ffff:.*|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*|2001:db8:.*|64:ff9b:.*|100::.*)$"
+_AUTHORITY = r"^(?i)(https?)://([^/?#]*)"
+
+
+def _host_of(authority: Column) -> Column:
+    """Host of an authority, without port and trailing dots; an IPv6 literal without its brackets."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(authority, r":\d*$", ""), r"^\[(.*)\]$", "$1"), r"\.+$", "")
+
+
 def valid_url(url: Column) -> Column:
-    """http(s), a host that is not local, no credentials, port absent, 80 or 443, no private literal address."""
-    m = lambda i: F.regexp_extract(url, r"^(?i)(https?)://([^/?#]*)", i)
-    authority = F.lower(m(2))
-    h, port = F.regexp_replace(authority, r":\d*$", ""), F.regexp_extract(authority, r":(\d*)$", 1)
-    private = h.rlike(r"^(127\.|10\.|0\.|169\.254\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.|22[4-9]\.|2[3-5]\d\.)\d") | h.rlike(r"^\[")
-    return F.coalesce((m(1) != "") & (h != "") & ~authority.contains("@") & port.isin("", "80", "443") & (h != "localhost") & ~h.endswith(".localhost") & ~h.endswith(".local") & ~h.endswith(".internal") & ~private, F.lit(False))
+    """http(s), a host that is neither local nor a metadata service, no credentials or control characters, port absent, 80 or 443, no private literal address."""
+    authority = F.lower(F.regexp_extract(url, _AUTHORITY, 2))
+    h, port, v6 = _host_of(authority), F.regexp_extract(authority, r":(\d*)$", 1), authority.startswith("[")
+    inside = h.isin("localhost", *METADATA_HOSTS) | h.rlike(r"\.(?:localhost|local|internal)$") | h.startswith("metadata.")
+    literal = F.when(v6, authority.rlike(r"^\[[0-9a-f:.]+\](?::\d*)?$") & h.contains(":") & ~h.rlike(PRIVATE_V6)).otherwise(~h.rlike(PRIVATE) & ~h.contains("["))
+    ok = (F.regexp_extract(url, _AUTHORITY, 1) != "") & (h != "") & ~authority.contains("@") & port.isin("", "80", "443") & ~inside & literal & ~url.rlike(r"[\x00-\x20\x7F]")
+    return F.coalesce(ok, F.lit(False))
 
 
 def normal_url(url: Column) -> Column:
-    """Scheme and host in lower case, "/" for an empty path, no fragment; null where the URL is not valid."""
+    """Scheme and host in lower case, no trailing dot, "/" for an empty path, no fragment; null where the URL is not valid."""
     bare = F.regexp_replace(url, r"#.*$", "")
-    head = F.lower(F.regexp_extract(bare, r"^(?i)(https?://[^/?#]*)", 1))
+    head = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^(?i)(https?://[^/?#]*)", 1)), r"\.+((?::\d*)?)$", "$1")
     rest = F.regexp_replace(bare, r"^(?i)https?://[^/?#]*", "")
     return F.when(valid_url(url), F.concat(head, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))

@@ -185,10 +185,12 @@ SELECT * EXCLUDE (n, m, beyond, failed_providers, status), n + coalesce(beyond,
     "source_profiles": f"""WITH h AS (SELECT DISTINCT {HOST} AS h FROM evidence_items), k AS (SELECT h, {_sql_kind()} AS kind FROM h)
 SELECT h AS host, array_to_string(list_slice(string_split(h, '.'), CASE WHEN array_to_string(list_slice(string_split(h, '.'), -2, -1), '.') IN {urls.LONG_SUFFIXES} THEN -3 ELSE -2 END, -1), '.') AS site, kind,
 CASE kind {' '.join(f"WHEN '{k}' THEN {a}" for k, a, _ in urls.SOURCE_KINDS)} ELSE {urls.UNKNOWN_AUTHORITY} END::DOUBLE AS authority FROM k""",
-    "url_forms": """WITH u AS (SELECT DISTINCT result_id, url, lower(regexp_extract(url, '^(?i)(https?)://([^/?#]*)', 2)) AS a FROM search_results), p AS (SELECT *, regexp_replace(a, ':[0-9]*$', '') AS h, regexp_extract(a, ':([0-9]*)$', 1) AS port FROM u),
-v AS (SELECT *, coalesce(h <> '' AND NOT contains(a, '@') AND port IN ('', '80', '443') AND h <> 'localhost' AND NOT regexp_matches(h, '[.](localhost|local|internal)$') AND NOT regexp_matches(h, '^(127[.]|10[.]|0[.]|169[.]254[.]|192[.]168[.]|172[.](1[6-9]|2[0-9]|3[01])[.]|22[4-9][.]|2[3-5][0-9][.])[0-9]') AND NOT starts_with(h, '['), false) AS valid FROM p),
+    "url_forms": f"""WITH u AS (SELECT DISTINCT result_id, url, lower(regexp_extract(url, '^(?i)(https?)://([^/?#]*)', 2)) AS a FROM search_results),
+p AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(a, ':[0-9]*$', ''), '^\\[(.*)\\]$', '\\1'), '[.]+$', '') AS h, regexp_extract(a, ':([0-9]*)$', 1) AS port FROM u),
+v AS (SELECT *, coalesce(h <> '' AND NOT contains(a, '@') AND port IN ('', '80', '443') AND h NOT IN {('localhost', *urls.METADATA_HOSTS)} AND NOT regexp_matches(h, '[.](localhost|local|internal)$') AND NOT starts_with(h, 'metadata.')
+ AND CASE WHEN starts_with(a, '[') THEN regexp_matches(a, '^\\[[0-9a-f:.]+\\](:[0-9]*)?$') AND contains(h, ':') AND NOT regexp_matches(h, '{urls.PRIVATE_V6}') ELSE NOT regexp_matches(h, '{urls.PRIVATE}') AND NOT contains(h, '[') END AND NOT regexp_matches(url, '[\\x00-\\x20\\x7F]'), false) AS valid FROM p),
 w AS (SELECT *, regexp_replace(url, '#.*$', '') AS bare FROM v), x AS (SELECT *, regexp_replace(bare, '^(?i)https?://[^/?#]*', '') AS rest FROM w)
-SELECT result_id, valid, CASE WHEN valid THEN lower(regexp_extract(bare, '^(?i)(https?://[^/?#]*)', 1)) || CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END END AS normal FROM x""",
+SELECT result_id, valid, CASE WHEN valid THEN regexp_replace(lower(regexp_extract(bare, '^(?i)(https?://[^/?#]*)', 1)), '[.]+((:[0-9]*)?)$', '\\1') || CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END END AS normal FROM x""",
     "label_confusion": f"WITH {VERDICT} SELECT c.label AS gold, " + ", ".join(f"count(*) FILTER (v.label = '{x}') AS {x}" for x in J.FACTUAL) + f", count(*) FILTER (v.label NOT IN {_F4}) AS unknown FROM cl c JOIN v USING (claim_id) WHERE c.label IN {_F4} GROUP BY 1",
     "class_metrics": f"WITH {VERDICT}, b AS (SELECT c.label AS gold, v.label AS predicted FROM cl c JOIN v USING (claim_id) WHERE c.label IN {_F4}), l AS (SELECT unnest(['credible', 'incorrect', 'disputed', 'evidence_insufficient']) AS label) SELECT label, count(*) FILTER (gold = label AND predicted = label) AS hits, round(count(*) FILTER (gold = label AND predicted = label) / nullif(count(*) FILTER (predicted = label), 0), 6) AS precision, round(count(*) FILTER (gold = label AND predicted = label) / nullif(count(*) FILTER (gold = label), 0), 6) AS recall FROM b, l GROUP BY 1",
     "cluster_heads": f"""WITH {EV}, f AS (SELECT *, row_number() OVER w AS n, first_value(content_hash) OVER w AS h0 FROM ev WINDOW w AS (PARTITION BY claim_id, cluster_id ORDER BY retrieved_at NULLS FIRST, evidence_id)),

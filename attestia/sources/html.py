@@ -40,8 +40,8 @@ class _Reader(HTMLParser):
             self.out.append(data)
 
 
-def readable(html: str | None, most: int = 1_000_000) -> str | None:
-    """Text without hidden elements, in NFKC, white space collapsed within lines, empty lines left out. Null gives null."""
+def readable(html: str | None, most: int | None = None) -> str | None:
+    """Text without hidden elements, in NFKC, white space collapsed within lines, empty lines left out; cut only where *most* is given. Null gives null."""
     if html is None:
         return None
     reader = _Reader()

@@ -48,7 +48,7 @@ def test_urls(spark):
     assert one(spark, urls.site(h), x="https://news.example.co.uk/") == "example.co.uk"
     for url, kind in (("https://www.gov.cn/x", "official"), ("https://blog.sciencenet.cn/", "community"), ("https://x.com", "social"), ("https://netflix.com", "unknown"), ("", "unknown")):
         assert one(spark, urls.source_kind(h), x=url) == kind
-    for url, ok in (("http://a.example/x", True), ("ftp://a.example", False), ("http://10.0.0.1/", False), ("http://localhost", False), ("http://u:p@a.example", False), ("http://a.example:8080", False)):
+    for url, ok in (("http://a.example/x", True), ("ftp://a.example", False), ("http://10.0.0.1/", False), ("http://localhost", False), ("http://u:p@a.example", False), ("http://a.example:8080", False), ("http://metadata.azure.com/", False), ("http://100.100.100.200", False), ("http://198.18.0.1/", False), ("http://192.0.2.7", False), ("http://[2606:4700::1111]/", True), ("http://[::1]/", False), ("http://[fe80::1]", False), ("http://a.example./x", True), ("http://a.exa\x07mple", False)):
         assert one(spark, urls.valid_url(F.col("x")), x=url) is ok
     assert one(spark, urls.normal_url(F.col("x")), x="HTTP://A.example#top") == "http://a.example/"
 
