@@ -4,27 +4,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestia.session import written
+from attestia.session import discard, written
+
+
+#: Tasks that the edges of one node are spread over.
+SALTS = 4
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node of each node's component.
 
     *edges* need not be symmetric; loops are allowed and keep lone nodes. Each round halves the depth of
-    the label trees by pointer jumping; hot nodes cost one aggregation each, never a collected group. The
-    state of a round is written to the shared folder.
+    the label trees by pointer jumping; hot nodes cost one aggregation each, never a collected group, and
+    the labels of a hot node are repeated over SALTS tasks. The state of a round is written to the shared folder, that
+    of the round before removed.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = written(both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("c")).select(F.col("a").alias("node"), "c"), "labels")
+    salted = both.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
     while True:
         # The least label among the neighbours, then the label of that label.
-        near = both.join(label.select(F.col("node").alias("b"), "c"), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("near"))
+        spread = label.select(F.col("node").alias("b"), "c", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        near = salted.join(spread, ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("c").alias("near"))
         step = label.join(near, "node", "left").select("node", F.col("c").alias("old"), F.least("c", F.coalesce("near", "c")).alias("c"))
         jump = step.join(label.select(F.col("node").alias("c"), F.col("c").alias("cc")), "c", "left").select("node", "old", F.least("c", F.coalesce("cc", "c")).alias("c"))
         new = written(jump, "labels")
         if new.filter("old <> c").limit(1).count() == 0:
             return new.select("node", F.col("c").alias("component"))
+        discard(label)
         label = new.select("node", "c")
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["quantities", "judging", "searching", "tables", "moving", "reading", "verifying", "reviewing"]
+MODULES: list[str] = ["quantities", "judging", "searching", "tables", "moving", "reading", "verifying", "reviewing", "checking"]
 
 
 def gather() -> tuple[dict, dict]:

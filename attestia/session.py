@@ -34,3 +34,11 @@ def written(df: DataFrame, what: str, partition_by: tuple[str, ...] = ()) -> Dat
     out = df.write.mode("overwrite")
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     return spark.read.parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a table of *written* that nothing will read again."""
+    jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(hadoop).delete(path, True)

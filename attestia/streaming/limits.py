@@ -4,7 +4,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -46,17 +47,25 @@ def admissions(events: DataFrame, key: str, at: str, event_id: str, watermark: s
 
 
 def admissions_batch(events: DataFrame, key: str, at: str, event_id: str) -> DataFrame:
-    """The same decisions over a finished table; a key's events are folded in time order inside one built-in aggregation."""
-    rows = events.select(key, F.struct(F.unix_micros(F.col(at).cast("timestamp")).alias("us"), F.col(event_id).alias("id")).alias("x"))
-    lists = rows.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    empty = F.struct(F.array().cast("array<bigint>").alias("times"), F.array().cast(f"array<struct<id:{dict(events.dtypes)[event_id]},accepted:boolean>>").alias("out"))
+    """The same decisions over a finished table: rows are sorted by key and time within partitions and folded as they
+    stream by, so a key of any size takes no more memory than one window of it. Null times are never accepted."""
+    kinds = dict(events.dtypes)
+    rows = events.select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("us"), event_id).repartition(key).sortWithinPartitions(key, "us", event_id)
 
-    def step(s, x):
-        left = F.filter(s["times"], lambda t: t > x["us"] - WINDOW_US)
-        ok = F.size(left) < ACCEPTED
-        return F.struct(F.when(ok, F.concat(left, F.array(x["us"]))).otherwise(left).alias("times"), F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), ok.alias("accepted")))).alias("out"))
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, times = object(), []
+        for part in parts:
+            got = []
+            for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if k != now:
+                    now, times = k, []
+                ok = False
+                if t is not None:
+                    times, ok = admit(times, t)
+                got.append(ok)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(got, pa.bool_())], names=[key, event_id, "accepted"])
 
-    return lists.select(key, F.explode(F.aggregate("xs", empty, step, lambda s: s["out"])).alias("o")).select(key, F.col("o.id").alias(event_id), F.col("o.accepted").alias("accepted"))
+    return rows.mapInArrow(run, f"{key} {kinds[key]}, {event_id} {kinds[event_id]}, accepted boolean")
 
 
 def windowed_counts(events: DataFrame, at: str, kind: str, width: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
@@ -74,3 +83,42 @@ def changed(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Dat
     """Rows of *new* whose signature over *columns* differs from that of *old*, or that *old* lacks."""
     sign = lambda df: df.select(key, F.xxhash64(*columns).alias("_sign"))
     return new.withColumn("_sign", F.xxhash64(*columns)).join(sign(old), [key, "_sign"], "left_anti").drop("_sign")
+
+
+#: Steps of a task and of a claim that may follow each other.
+STEPS = {
+    "task": {"created": ("running", "interrupted"), "running": ("succeeded", "partial", "failed", "interrupted"), "interrupted": ("running",), "partial": ("running",), "succeeded": ("running",), "failed": ("running",)},
+    "claim": {"pending": ("retrieving", "done", "unchecked", "failed"), "retrieving": ("judging", "done", "failed", "unchecked"), "judging": ("done", "failed", "unchecked"), "failed": ("pending",), "unchecked": ("pending",), "done": ("pending",)},
+}
+
+
+def transitions(events: DataFrame, key: str, state: str, order: list[str], kind: str = "claim") -> DataFrame:
+    """*events* with *before* and *legal*: each step of a key against the one before it; the first one may be any."""
+    before = F.lag(state).over(Window.partitionBy(key).orderBy(*order))
+    allowed = F.create_map(*[x for a, bs in STEPS[kind].items() for x in (F.lit(a), F.array(*map(F.lit, bs)))])
+    legal = before.isNull() | (before == F.col(state)) | F.coalesce(F.array_contains(F.try_element_at(allowed, before), F.col(state)), F.lit(False))
+    return events.withColumn("before", before).withColumn("legal", legal)
+
+
+def within_budget(claims: DataFrame, task: str, order: list[str], cost: str, budget: float, reserve: tuple[float, float] = (30.0, 0.4)) -> DataFrame:
+    """*claims* with *started*: whether a claim may start before its task's *budget* less the reserve for judging (the
+    smaller of *reserve*[0] and the share *reserve*[1] of what is left) is spent by those before it."""
+    spent = F.coalesce(F.sum(cost).over(Window.partitionBy(task).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    left = F.lit(float(budget)) - spent
+    return claims.withColumn("started", left - F.least(F.lit(reserve[0]), left * reserve[1]) > 0)
+
+
+def recovered(tasks: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tasks and claims after a restart: active tasks are interrupted, their active claims failed without a label."""
+    active = F.col("status").isin("created", "running")
+    hit = tasks.filter(active).select("task_id", F.lit(True).alias("_hit"))
+    out = claims.join(hit, "task_id", "left").withColumn("_hit", F.coalesce(F.col("_hit") & F.col("state").isin("pending", "retrieving", "judging"), F.lit(False)))
+    out = out.withColumn("label", F.when(~F.col("_hit"), F.col("label"))).withColumn("state", F.when(F.col("_hit"), "failed").otherwise(F.col("state"))).drop("_hit")
+    return tasks.withColumn("status", F.when(active, "interrupted").otherwise(F.col("status"))), out.select(claims.columns)
+
+
+def imported_stream(files: DataFrame, splitter) -> DataFrame:
+    """Chunks of a stream of documents (document_id, pages): *splitter* turns a DataFrame of documents into chunks; a
+    document delivered again within the watermark of *arrived* is left out."""
+    once = files.withWatermark("arrived", "1 day").dropDuplicatesWithinWatermark(["document_id"])
+    return splitter(once)

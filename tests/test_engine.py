@@ -19,3 +19,19 @@ def test_engine(spark, data):
     assert e.delete(ids)["kb_documents"].count() == e.documents().count() - 2
     assert e.import_(e.documents().select("document_id", "pages")).count() == 0
     assert e.status().first()["documents"] == e.documents().count()
+
+
+def test_engine_verifies_reviews_and_searches(spark, data):
+    from attestia.engine import Engine
+    from attestia.operators import review
+
+    e = Engine(spark, data)
+    answers = spark.createDataFrame([("t1", "乙厂成立于2010年。我建议购买。")], "task_id string, input_text string")
+    first = e.extract(answers).filter("claim_type <> 'opinion'").first()
+    results = spark.createDataFrame([(first.claim_id, "https://a.gov.cn/1", "乙厂", "P", "乙厂创立于1998年。", None, None)], "claim_id string, url string, title string, publisher string, content string, snippet string, metadata map<string,string>")
+    claims, evidence, verdicts = e.verify(answers, results)
+    assert claims.count() == 2 and [r.excerpt for r in evidence.collect()] == ["乙厂创立于1998年。"] and sorted(r.label for r in verdicts.collect()) == ["evidence_insufficient", "not_applicable"]
+    asked = spark.createDataFrame([("q", "harbour mill")], "query_id string, query string")
+    vectors = spark.createDataFrame([("q", [1.0] * 64)], "query_id string, q array<double>")
+    assert e.search(asked, vectors=vectors, model="lattice-base-64").count() <= 5 and e.listing(limit=3).count() == 3 and e.document("?").count() == 0
+    assert e.review(spark.createDataFrame([], review.OPERATIONS)).count() == 0
