@@ -180,12 +180,23 @@ def canonical_texts(df: DataFrame, text: str, out: str = "canonical") -> DataFra
     return src.filter(plain).unionByName(odd)
 
 
+def _forms(records: DataFrame) -> DataFrame:
+    """(record_kind, record_key, raw, form): hashes of the stored and of the canonical text; null and blank texts are left out."""
+    forms = canonical_texts(records.select("record_kind", "record_key", "text"), "text").filter("canonical <> ''")
+    return written(forms.select("record_kind", "record_key", F.xxhash64(stripped(F.col("text"))).alias("raw"), F.xxhash64("canonical").alias("form")), "forms")
+
+
+def lookalike_classes(records: DataFrame) -> DataFrame:
+    """(record_kind, record_key, form, spellings): one row a record and text, its class and the number of different spellings in it."""
+    keyed = _forms(records).distinct()
+    ways = keyed.select("record_kind", "form", "raw").distinct().groupBy("record_kind", "form").agg(F.count("*").alias("spellings"))
+    return keyed.join(ways, ["record_kind", "form"]).select("record_kind", "record_key", "form", "spellings")
+
+
 def lookalike_pairs(records: DataFrame) -> DataFrame:
     """(record_kind, key_a, key_b) of records (record_kind, record_key, text) that look the same and differ in characters.
 
     Repeated rows count once; a key with several different texts counts each of them. Null and
     blank texts have no partner. Only hashes are shuffled.
     """
-    forms = canonical_texts(records.select("record_kind", "record_key", "text"), "text").filter("canonical <> ''")
-    keyed = written(forms.select("record_kind", "record_key", F.xxhash64(stripped(F.col("text"))).alias("raw"), F.xxhash64("canonical").alias("form")), "forms")
-    return pairs_within(keyed, ["record_kind", "form"], "record_key", "raw").select("record_kind", F.col("record_key_a").alias("key_a"), F.col("record_key_b").alias("key_b")).distinct()
+    return pairs_within(_forms(records), ["record_kind", "form"], "record_key", "raw").select("record_kind", F.col("record_key_a").alias("key_a"), F.col("record_key_b").alias("key_b")).distinct()

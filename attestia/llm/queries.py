@@ -62,6 +62,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return canon.lookalike_pairs(_records(spark, d))
 
 
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each record with its class of texts that look the same, and in how many ways the class is spelt."""
+    return canon.lookalike_classes(_records(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"), "doc_id", "text", bpe.Vocabulary())
 
@@ -101,7 +106,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("score") >= abuse.THRESHOLD).alias("flagged"), F.round(F.avg((F.col("score") >= abuse.THRESHOLD).cast("int")), 6).alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_bisected, p3_found, p4_neighbours, p4_found, p5_found, p6_found, p8_ids, p8_round_trip, p9_regions, p9_found, p9_items, p10_scores, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_bisected, p3_found, p4_neighbours, p4_found, p5_found, p6_found, p6_classes, p8_ids, p8_round_trip, p9_regions, p9_found, p9_items, p10_scores, p10_found, p10_rates)}
 SQL: dict[str, str] = {
     # The definition itself: every window of every item searched in every text.
     "p9_found": """
