@@ -324,3 +324,54 @@ def resolved(text: str, found: Iterable[Claim]) -> list[Claim]:
                 claim = claim._replace(normalized=_THAT_FIELD.sub(names.pop(), plain(claim.normalized), count=1))
         out.append(claim)
     return out
+
+
+class PartitionError(ValueError):
+    """A proposed partition does not hold."""
+
+
+def partition(text: str, segments: Iterable[tuple[str, str]]) -> list[Claim]:
+    """Claims of a proposed partition of *text* into (source, inherited context) pieces.
+
+    The pieces must follow each other without gaps, none may leave its sentence, what is left out may not hold a claim,
+    and a context must be words of the same sentence before the piece, as the rules here would inherit them where they
+    know the piece. PartitionError otherwise.
+    """
+    bounds, known = statements(text), {(c.start, c.end): c for c in atoms(text)}
+    out, at = [], 0
+    for source, context in segments:
+        source = (source or "").strip()
+        start = at + len(text[at:]) - len(text[at:].lstrip())
+        at = start + len(source)
+        if not source or not text.startswith(source, start):
+            raise PartitionError("not the text in order")
+        sentence = next(((a, b) for a, b in bounds if a <= start < b), None)
+        rule = known.get((start, at))
+        if sentence is None:
+            if statements(source):
+                raise PartitionError("a heading hides a claim")
+            continue
+        before, whole = text[sentence[0] : start], (start, at) == sentence
+        if at > sentence[1]:
+            raise PartitionError("across sentences")
+        if context and (context not in before or (rule is None and not before.startswith(context))):
+            raise PartitionError("context from elsewhere")
+        if rule is None and not whole and dependent(text[slice(*sentence)]):
+            raise PartitionError("a dependent clause apart")
+        if re.fullmatch(r"[^，,]{1,20}(?:时期|期间|年代|年)[，,]", source):
+            raise PartitionError("a time apart")
+        if rule is not None:
+            # A context longer than the rules inherit is cut back to theirs, any other difference is a fault.
+            body = derived(source)
+            given, ruled = derived(source, context).removesuffix(body), rule.normalized.removesuffix(body)
+            if context and ruled and not given.startswith(ruled):
+                raise PartitionError("another context")
+            out.append(rule)
+        elif context or not whole:
+            out.append(Claim(start, at, source, derived(source, context)))
+        else:
+            head, tails = split(Claim(start, at, source, plain(source)))
+            out += [*head, *tails]
+    if text[at:].strip():
+        raise PartitionError("text left over")
+    return out

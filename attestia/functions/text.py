@@ -61,7 +61,7 @@ def utf16_slice(text: Column, start: Column, end: Column) -> Column:
     return F.when((start >= 0) & (end > start) & (end * 2 <= F.octet_length(raw)) & ~split, F.decode(piece, "UTF-16LE"))
 
 
-def collapse(text: Column) -> Column:
+def collapse(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 

@@ -98,3 +98,37 @@ def alignment_problems(quotes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.string())], names=[*kept, "problem"])
 
     return quotes.mapInArrow(run, quotes.schema.simpleString()[len("struct<") : -1] + ",problem:string")
+
+
+#: What a judge answers: decisions as JSON, maybe in one Markdown fence.
+PAYLOAD = f"decisions array<struct<evidence_id:string,relation:string,excerpt:string,reason:string,checks:array<struct<part_id:int,relation:string,excerpt:string,alignment:{ALIGNMENT}>>,alignment:{ALIGNMENT}>>"
+# Relations a decision may have, and why an answer ended early.
+RELATIONS = ("supports", "refutes", "partially_supports", "irrelevant", "unknown")
+ENDED = {"content_filter": "LLM_CONTENT_FILTER", "length": "LLM_TRUNCATED", "repetition_truncation": "LLM_REPETITION"}
+
+
+def parsed(responses: DataFrame, most: int = 5) -> DataFrame:
+    """(claim_id, code, decisions) of raw answers (claim_id, body): *code* tells why an answer cannot be used, else it is null.
+
+    The envelope is JSON with choices[0].message.content and finish_reason. Nothing is repaired: prose around the JSON, an
+    unknown relation, a missing id or more than *most* decisions make the whole answer void.
+    """
+    at = lambda path: F.get_json_object("body", path)
+    content = F.trim(at("$.choices[0].message.content"))
+    inner = F.regexp_extract(content, r"(?is)\A```(?:json)?\s*(.*?)\s*```\z", 1)
+    r = responses.withColumn("_c", F.when(inner != "", inner).otherwise(content)).withColumn("_p", F.from_json("_c", PAYLOAD, {"mode": "PERMISSIVE"}))
+    ended = F.create_map(*[F.lit(x) for k, v in ENDED.items() for x in (k, v)])
+    good = F.forall("_p.decisions", lambda d: F.coalesce(d["evidence_id"] != "", F.lit(False)) & F.coalesce(d["relation"].isin(*RELATIONS), F.lit(False)))
+    code = (
+        F.when(at("$.choices[0].message").isNull(), "LLM_RESPONSE").when(at("$.choices[0].message.refusal").isNotNull(), "LLM_CONTENT_FILTER")
+        .when(F.try_element_at(ended, at("$.choices[0].finish_reason")).isNotNull(), F.try_element_at(ended, at("$.choices[0].finish_reason")))
+        .when(F.coalesce(content, F.lit("")) == "", "LLM_EMPTY").when(F.get_json_object("_c", "$").isNull(), "LLM_JSON")
+        .when(F.col("_p.decisions").isNull() | (F.size("_p.decisions") > most) | ~good, "LLM_SCHEMA")
+    )
+    return r.select("claim_id", code.alias("code"), F.when(code.isNull(), F.col("_p.decisions")).alias("decisions"))
+
+
+def decisions_of(answers: DataFrame) -> DataFrame:
+    """The decisions of usable answers of *parsed*, as apply_decisions takes them."""
+    d = answers.filter("code IS NULL").select("claim_id", F.explode("decisions").alias("d"))
+    return d.select("claim_id", "d.evidence_id", "d.relation", "d.excerpt", "d.checks", "d.alignment")

@@ -17,6 +17,32 @@ CLAIMS = (
 )
 
 
+def segmented(answers: DataFrame, segments: DataFrame) -> DataFrame:
+    """(task_id, method, claims array<struct<start,end,source,normalized>>) of answers (task_id, input_text) by proposed
+    segments (task_id, ord, source, context): 'model' where the proposal holds, else 'rules_fallback'; 'rules' without one.
+
+    A segmenter is any table of segments. Null and blank answers have no claims.
+    """
+    lists = segments.groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "source", "context"))), lambda s: F.struct(s["source"].alias("source"), s["context"].alias("context"))).alias("segments"))
+    both = answers.select(F.col("task_id").cast("string"), "input_text").join(lists, "task_id", "left")
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", pa.string()), ("normalized", pa.string())]))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            methods, found = [], []
+            for text, given in zip(part.column("input_text").to_pylist(), part.column("segments").to_pylist()):
+                text, method = (text or "").strip(), "rules" if given is None else "model"
+                try:
+                    claims = atoms.partition(text, [(s["source"], s["context"] or "") for s in given]) if given is not None else atoms.atoms(text)
+                except atoms.PartitionError:
+                    method, claims = "rules_fallback", atoms.atoms(text)
+                methods.append(method)
+                found.append([c._asdict() for c in claims])
+            yield pa.RecordBatch.from_arrays([part.column("task_id"), pa.array(methods, pa.string()), pa.array(found, kind)], names=["task_id", "method", "claims"])
+
+    return both.mapInArrow(run, "task_id string, method string, claims array<struct<start:int,end:int,source:string,normalized:string>>")
+
+
 def extracted(answers: DataFrame, key: str, text: str, limit: int | str = 15) -> DataFrame:
     """Atomic claim rows of every answer: at most *limit* (a number or a column), with the number found; offsets in
     UTF-16 units of the stripped text.

@@ -105,3 +105,23 @@ def undo_codes(tasks: DataFrame, claims: DataFrame, events: DataFrame, wanted: D
         .when(~F.coalesce(F.col("newest") == F.col("event_id"), F.lit(False)), "UNDO_ORDER").when(F.coalesce("now", F.lit("[]")) != F.col("after_claims"), "STATE_CHANGED")
     )
     return w.select("task_id", "event_id", "reviewer", error.alias("error"), F.when(error.isNull(), F.col("before_claims")).alias("restored"))
+
+
+def retry_codes(tasks: DataFrame, claims: DataFrame, wanted: DataFrame, most: int = 2) -> DataFrame:
+    """(claim_id, error): why each wanted retry (claim_id) may not begin, null where it may; the first reason that applies.
+
+    Claims need source_text, normalized_claim, retry_count, retrieval_warnings, manually_edited and unchecked_reason beside KEPT.
+    """
+    lost = r"^(?:(?:该|这一|这个)学科(?:在|于|以|的|是|为|位列|排名|获得|入选|上榜)|[它他她](?:们)?(?:最终|主要|通常|在|于|的|是|为|位于|成立|创立|出生|毕业|流入|注入|发源|拥有|支持|能|不))"
+    unresolved = F.coalesce(F.col("source_text").rlike(lost) & F.col("normalized_claim").rlike(lost), F.lit(False))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    again = (
+        yes(F.col("state") == "failed") | yes(F.col("label") == "evidence_insufficient") | yes(F.size("retrieval_warnings") > 0)
+        | yes(F.col("manually_edited") & (F.col("state") == "unchecked")) | yes((F.col("state") == "unchecked") & (F.col("unchecked_reason") == "task_budget"))
+    )
+    w = wanted.select("claim_id").distinct().join(claims.withColumn("_known", F.lit(True)), "claim_id", "left").join(tasks.select("task_id", "status"), "task_id", "left")
+    code = (
+        F.when(F.col("_known").isNull() | F.col("status").isNull(), "NOT_FOUND").when(F.col("status").isin(*BUSY), "TASK_BUSY").when(unresolved, "RETRY_NOT_ALLOWED")
+        .when(F.coalesce("retry_count", F.lit(0)) >= most, "RETRY_LIMIT").when(~again, "RETRY_NOT_ALLOWED")
+    )
+    return w.select("claim_id", code.alias("error"))

@@ -10,7 +10,7 @@ from attestia.sources.html import readable_text
 from attestia.streaming import limits
 from attestia.session import table
 
-from .judging import CL, TK, _claims, _evidence, _tasks
+from .judging import CL, EV, TK, _claims, _evidence, _tasks
 
 
 def admission_limit(spark, d):
@@ -33,14 +33,20 @@ def fixture_search(spark, d):
 
 
 def task_reports(spark, d):
-    """Size of each task's JSON report and its number of claims."""
+    """Each task's JSON report read back: claims, status, the labels in reading order, and the evidence it holds."""
     r = sinks.json_reports(_tasks(spark, d), _claims(spark, d), _evidence(spark, d))
-    return r.select("task_id", F.json_array_length(F.get_json_object("report", "$.claims")).alias("claims"), F.get_json_object("report", "$.status").alias("status"))
+    kept = F.from_json(F.get_json_object("report", "$.claims"), "array<struct<claim_id:string,label:string,normalized_claim:string,evidence:array<struct<evidence_id:string,url:string>>>>")
+    r = r.withColumn("c", kept)
+    items = F.flatten(F.transform("c", lambda c: F.transform(F.coalesce(c["evidence"], F.array().cast("array<struct<evidence_id:string,url:string>>")), lambda e: e["evidence_id"])))
+    return r.select(
+        "task_id", F.size("c").alias("claims"), F.get_json_object("report", "$.status").alias("status"), F.array_join(F.transform("c", lambda c: F.concat(c["claim_id"], F.lit("="), F.coalesce(c["label"], F.lit("-")))), ",").alias("labels"),
+        F.md5(F.array_join(F.transform("c", lambda c: F.coalesce(c["normalized_claim"], F.lit(""))), "\x01")).alias("texts"), F.array_join(F.array_sort(items), ",").alias("evidence"))
 
 
 def markdown_reports(spark, d):
+    """Each task's Markdown report, as its sections and the digest of the whole document."""
     r = sinks.markdown_reports(_tasks(spark, d), _claims(spark, d))
-    return r.select("task_id", F.size(F.regexp_extract_all("report", F.lit(r"(?m)^## "), F.lit(0))).alias("sections"))
+    return r.select("task_id", F.size(F.regexp_extract_all("report", F.lit(r"(?m)^## "), F.lit(0))).alias("sections"), F.md5("report").alias("digest"))
 
 
 def imported_documents(spark, d):
@@ -69,12 +75,23 @@ def plain_claims(spark, d):
     return table(spark, d, "claims").select("claim_id", T.plain("normalized_claim").alias("plain"), T.utf16_length(F.col("normalized_claim")).alias("units")).distinct()
 
 
+def _escaped(x: str) -> str:
+    """Text as Markdown and HTML show it."""
+    html = f"replace(replace(replace(coalesce({x}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    return f"regexp_replace({html}, '([\\\\`*_{{}}\\[\\]()#+\\-.!|])', '\\\\\\1', 'g')"
+
+
 QUERIES = {f.__name__: f for f in (admission_limit, hourly_events, fixture_search, task_reports, markdown_reports, imported_documents, readable_results, changed_claims, plain_claims)}
 SQL = {
     "hourly_events": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "fixture_search": "WITH f AS (SELECT lower(trim(query)) AS k, hit_rank AS ord, min(chunk_id) AS chunk_id FROM kb_hits GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ord) AS r FROM f), q AS (SELECT DISTINCT query_id, lower(trim(query)) AS k FROM kb_hits) SELECT query_id, ord, chunk_id FROM q JOIN n USING (k) WHERE r <= 3",
-    "task_reports": f"WITH {CL}, {TK} SELECT task_id, count(claim_id)::INT AS claims, any_value(status) AS status FROM tk LEFT JOIN cl USING (task_id) GROUP BY 1",
-    "markdown_reports": f"WITH {CL}, {TK} SELECT task_id, count(claim_id)::INT AS sections FROM tk LEFT JOIN cl USING (task_id) GROUP BY 1",
+    "task_reports": f"""WITH {CL}, {TK}, {EV}, i AS (SELECT claim_id, evidence_id FROM ev WHERE claim_id IS NOT NULL),
+e AS (SELECT task_id, string_agg(evidence_id, ',' ORDER BY evidence_id) AS evidence FROM cl JOIN i USING (claim_id) GROUP BY 1),
+c AS (SELECT task_id, count(*)::INT AS n, string_agg(claim_id || '=' || coalesce(label, '-'), ',' ORDER BY char_start NULLS FIRST, claim_id) AS labels, string_agg(coalesce(normalized_claim, ''), chr(1) ORDER BY char_start NULLS FIRST, claim_id) AS texts FROM cl GROUP BY 1)
+SELECT task_id, coalesce(n, 0) AS claims, status, coalesce(labels, '') AS labels, md5(coalesce(texts, '')) AS texts, coalesce(evidence, '') AS evidence FROM tk LEFT JOIN c USING (task_id) LEFT JOIN e USING (task_id)""",
+    "markdown_reports": f"""WITH {CL}, {TK}, s AS (SELECT task_id, char_start, claim_id, '## ' || {_escaped('normalized_claim')} || chr(10) || chr(10) || 'Label: ' || coalesce(label, 'not checked') || coalesce(' (' || support_score || ')', '') AS s FROM cl),
+b AS (SELECT task_id, count(*)::INT AS n, string_agg(s, chr(10) || chr(10) ORDER BY char_start NULLS FIRST, claim_id) AS body FROM s GROUP BY 1)
+SELECT task_id, coalesce(n, 0) AS sections, md5('# Report ' || task_id || chr(10) || chr(10) || coalesce(body, 'No claims.') || chr(10) || chr(10) || '_{sinks.DISCLAIMER}_' || chr(10)) AS digest FROM tk LEFT JOIN b USING (task_id)""",
     "changed_claims": f"WITH {CL} SELECT claim_id, state FROM cl WHERE state = 'judging'",
     "imported_documents": "WITH d AS (SELECT DISTINCT document_id, pages FROM kb_documents), f AS (SELECT pages, min(document_id) AS document_id FROM d GROUP BY 1) SELECT document_id FROM f WHERE pages NOT IN (SELECT pages FROM d WHERE right(document_id, 1) IN ('0', '2', '4', '6', '8'))",
 }

@@ -108,11 +108,18 @@ def queue_preview(spark, d):
     return c.select("task_id", "claim_id", F.row_number().over(w).alias("place")).filter("place <= 4")
 
 
-QUERIES = {f.__name__: f for f in (review_applied, review_codes, undo, evaluation_metrics, evaluation_checks, evaluation_quality, evaluation_timing, evaluation_report, gold_faults, mapped_predictions, terminal_status, progress, queue_preview)}
+def retry_codes(spark, d):
+    """Whether each claim may be tried again."""
+    return R.retry_codes(_tasks(spark, d), _claims(spark, d), _claims(spark, d)).select("claim_id", F.coalesce("error", F.lit("OK")).alias("code"))
+
+
+QUERIES = {f.__name__: f for f in (retry_codes, review_applied, review_codes, undo, evaluation_metrics, evaluation_checks, evaluation_quality, evaluation_timing, evaluation_report, gold_faults, mapped_predictions, terminal_status, progress, queue_preview)}
 _F4 = "('credible', 'incorrect', 'disputed', 'evidence_insufficient')"
 _OPS = f"{CL}, {TK}, f AS (SELECT task_id, first(claim_id ORDER BY char_start NULLS FIRST, claim_id) AS c, count(*) AS n FROM cl GROUP BY 1), o AS (SELECT f.task_id, c, n, CASE WHEN status IS NULL THEN 'NOT_FOUND' WHEN status IN ('created', 'running') THEN 'TASK_BUSY' ELSE 'OK' END AS code FROM f LEFT JOIN tk USING (task_id))"
 _ROWS = f"{VERDICT}, {TK}, r AS (SELECT c.claim_id, c.label AS expected, v.label AS predicted, t.status, t.truncated, CASE WHEN t.task_id IS NULL THEN NULL WHEN t.segmentation_method = 'model' THEN 'human' ELSE 'synthetic' END AS source, t.task_id AS tid, (epoch_us(t.updated_at) - epoch_us(t.created_at)) / 1000.0::DOUBLE AS ms FROM cl c JOIN v USING (claim_id) LEFT JOIN tk t ON c.task_id = t.task_id)"
 SQL = {
+    "retry_codes": f"""WITH {CL}, {TK} SELECT claim_id, CASE WHEN tk.status IS NULL THEN 'NOT_FOUND' WHEN tk.status IN ('created', 'running') THEN 'TASK_BUSY' WHEN coalesce(retry_count, 0) >= 2 THEN 'RETRY_LIMIT'
+ WHEN coalesce(state = 'failed', false) OR coalesce(label = 'evidence_insufficient', false) OR coalesce(len(retrieval_warnings) > 0, false) OR coalesce(manually_edited AND state = 'unchecked', false) OR coalesce(state = 'unchecked' AND unchecked_reason = 'task_budget', false) THEN 'OK' ELSE 'RETRY_NOT_ALLOWED' END AS code FROM cl LEFT JOIN tk USING (task_id)""",
     "review_applied": f"WITH {_OPS} SELECT claim_id, cl.task_id, char_start, state, label FROM cl LEFT JOIN o USING (task_id) WHERE NOT coalesce(code = 'OK' AND claim_id = c, false)",
     "review_codes": f"WITH {_OPS} SELECT task_id, code, (n - CASE code WHEN 'OK' THEN 1 ELSE 0 END)::INT AS left FROM o",
     "undo": f"WITH {_OPS} SELECT task_id, 'OK' AS code, n::INT AS restored FROM o WHERE code = 'OK'",
