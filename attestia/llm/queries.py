@@ -130,3 +130,4 @@ WITH RECURSIVE pages AS (
 SELECT DISTINCT document_id, page_no::BIGINT AS page_no, a AS char_start, b AS char_end FROM cut
 WHERE a IS NOT NULL AND trim(substr(page, a + 1, b - a), ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)) <> ''""",
 }
+SQL["p9_items"] = f"SELECT item_id, count(*) AS documents FROM ({SQL['p9_found']}) GROUP BY 1"
