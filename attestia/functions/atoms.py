@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 from itertools import accumulate
 from typing import NamedTuple
 
@@ -271,6 +272,7 @@ class Slot(NamedTuple):
         return 3 if re.search(direct, text) else 2 if any(c in text for c in self.cues[:3]) else 1
 
 
+@lru_cache(maxsize=20_000)
 def slot_of(text: str | None) -> Slot | None:
     """The property that a plain claim states, by the first family that fits."""
     text = (text or "").strip().rstrip(_END)

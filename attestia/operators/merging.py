@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestia.functions import planning as P
 from attestia.functions.urls import host, site
+from attestia.session import written
 
 from .graph import linked_within
 
@@ -56,13 +56,14 @@ def covering(evidence: DataFrame, parts: DataFrame) -> DataFrame:
                 got.append([n for n, p in enumerate(some, 1) if P.usable_text(text, asked.setdefault(p, P.neutral(p)), p)])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.list_(pa.int32()))], names=[*b.schema.names, "covers"])
 
-    both = evidence.join(lists, "claim_id", "left")
+    # Spread by item: the Python work is far more than the bytes that partitions are sized by.
+    both = evidence.join(lists, "claim_id", "left").repartition(max(evidence.sparkSession.sparkContext.defaultParallelism, 1), "evidence_id")
     return both.mapInArrow(run, both.schema.simpleString()[len("struct<") : -1] + ",covers:array<int>").drop("_parts")
 
 
 def merged(evidence: DataFrame, parts: DataFrame, limit: int = 5) -> DataFrame:
     """(claim_id, cluster_id, evidence_id, slot): at most *limit* items a claim, in groups named ec_0001 onwards."""
-    e = covering(grouped(evidence), parts)
+    e = written(covering(grouped(evidence), parts), "covered")
     same = Window.partitionBy("claim_id", "url", "excerpt").orderBy("_local", "position", "group_no", "evidence_id")
     e = e.withColumn("_n", F.row_number().over(same)).filter("_n = 1")
     # Only these can be chosen, so that a claim with any number of items stays a small group.
@@ -71,18 +72,26 @@ def merged(evidence: DataFrame, parts: DataFrame, limit: int = 5) -> DataFrame:
     e = e.withColumn("turn", F.row_number().over(turn)).withColumn("_best", F.row_number().over(best))
     e = e.filter((F.col("turn") <= 2 * limit) | ((F.size("covers") > 0) & (F.col("_best") <= limit)))
 
-    def choose(g: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(g["turn"], map(tuple, g["covers"]), ~g["_local"], g["authority"].fillna(0.0), g["group_no"], g["evidence_id"]))
-        left, out = {p for r in rows for p in r[1]}, []
-        while left and len(out) < limit:
-            r = max(rows, key=lambda r: (len(left.intersection(r[1])), r[2], r[3], -r[0]))
-            if not left.intersection(r[1]):
-                break
-            left -= set(r[1])
-            out.append(r)
-            rows.remove(r)
-        out += rows[: limit - len(out)]
-        groups = {no: f"ec_{n:04d}" for n, no in enumerate(sorted({r[4] for r in out}), 1)}
-        return pd.DataFrame({"claim_id": g["claim_id"].iloc[0], "cluster_id": [groups[r[4]] for r in out], "evidence_id": [r[5] for r in out], "slot": range(1, len(out) + 1)})
-
-    return e.select("claim_id", "evidence_id", "turn", "covers", "_local", "authority", "group_no").groupBy("claim_id").applyInPandas(choose, "claim_id string, cluster_id string, evidence_id string, slot int")
+    # A claim's few candidates travel as one row.
+    item = F.struct("turn", "covers", (~F.col("_local")).alias("web"), F.coalesce("authority", F.lit(0.0)).alias("authority"), "group_no", "evidence_id")
+    rows = e.groupBy("claim_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for claim, items in zip(b.column("claim_id").to_pylist(), b.column("items").to_pylist()):
+                left, picked = {p for r in items for p in r["covers"]}, []
+                while left and len(picked) < limit:
+                    r = max(items, key=lambda r: (len(left.intersection(r["covers"])), r["web"], r["authority"], -r["turn"]))
+                    if not left.intersection(r["covers"]):
+                        break
+                    left -= set(r["covers"])
+                    picked.append(r)
+                    items.remove(r)
+                picked += items[: limit - len(picked)]
+                names = {no: f"ec_{n:04d}" for n, no in enumerate(sorted({r["group_no"] for r in picked}), 1)}
+                out += [(claim, names[r["group_no"]], r["evidence_id"], slot) for slot, r in enumerate(picked, 1)]
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int32())], names=["claim_id", "cluster_id", "evidence_id", "slot"])
+
+    return rows.mapInArrow(choose, "claim_id string, cluster_id string, evidence_id string, slot int")
