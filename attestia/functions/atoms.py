@@ -12,11 +12,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import lru_cache
 from itertools import accumulate
 from typing import NamedTuple
 
-from .claims import plain, statements
+from .claims import conditions, named, plain, statements
 
 # Words outside a title that tie the clauses of a statement together.
 DEPENDENT = (
@@ -272,9 +271,20 @@ class Slot(NamedTuple):
         return 3 if re.search(direct, text) else 2 if any(c in text for c in self.cues[:3]) else 1
 
 
-@lru_cache(maxsize=20_000)
+_SLOTS: dict[str | None, Slot | None] = {}
+
+
 def slot_of(text: str | None) -> Slot | None:
     """The property that a plain claim states, by the first family that fits."""
+    # A plain dictionary: an lru_cache wrapper would be pickled by name, which executors cannot import.
+    if text not in _SLOTS:
+        if len(_SLOTS) > 20_000:
+            _SLOTS.clear()
+        _SLOTS[text] = _slot(text)
+    return _SLOTS[text]
+
+
+def _slot(text: str | None) -> Slot | None:
     text = (text or "").strip().rstrip(_END)
     if re.search(r"[，,；;]|因为|由于|如果|虽然|据称|表示|认为|可能|《|》", text):
         return None
@@ -288,6 +298,18 @@ def slot_of(text: str | None) -> Slot | None:
     return None
 
 
+def names_of(claim: str) -> list[str]:
+    """What anchors a search for the claim: the subject alone where a plain property is stated."""
+    slot = slot_of(claim)
+    return [slot.subject] if slot else named(claim)
+
+
+def limits_of(claim: str) -> list[str]:
+    """Phrases of time and scope; of a plain property only its own period, as a date of founding or birth is the answer."""
+    slot = slot_of(claim)
+    return ([slot.scope] if slot.scope else []) if slot else conditions(claim)
+
+
 # Forms of a reference to a discipline or to a person or thing named before.
 _FIELD = re.compile(r"(?P<school>[㐀-鿿A-Za-z·]{2,20}(?:大学|学院|学校))(?:(?:上榜|入选|开设|设立|拥有)的|的)?学科(?:是|为)(?P<field>[^，,。！？!?；;：:\n]{2,30})")
 _THAT_FIELD = re.compile(r"(?:该|这一|这个)学科(?=在|于|以|的|是|为|位列|排名|获得|入选|上榜)")

@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable
-from functools import lru_cache
 
 from .atoms import atoms, slot_of
 from .text import CJK_STOP, STOP, TERM
@@ -49,26 +48,32 @@ def topic_terms(text: str | None) -> list[str]:
     return list(out)
 
 
-@lru_cache(maxsize=20_000)
+_KNOWN: dict[tuple, object] = {}
+
+
+def _once(make, text: str | None):
+    """make(text), remembered for a while."""
+    key = (make.__name__, text)
+    if key not in _KNOWN:
+        if len(_KNOWN) > 50_000:
+            _KNOWN.clear()
+        _KNOWN[key] = make(text)
+    return _KNOWN[key]
+
+
 def _topic_words(topic: str | None) -> frozenset[str]:
     """Terms that tell a topic; numbers and pairs with a grammatical sign don't, unless there are only such."""
     words = frozenset(t.casefold() for t in topic_terms(topic) if not _NUMBER.fullmatch(t))
     return frozenset(t for t in words if not re.search(r"[的是在于了从向最]", t)) or words
 
 
-@lru_cache(maxsize=2_000)
-def _folded_text(text: str | None) -> str:
-    return folded(text)
-
-
 def topic_share(text: str | None, topic: str | None) -> tuple[float, int]:
     """(share, number) of the topic's terms that *text* has."""
-    words, body = _topic_words(topic), _folded_text(text)
+    words, body = _once(_topic_words, topic), _once(folded, text)
     hits = sum(t in body for t in words)
     return (hits / len(words) if words else 0.0), hits
 
 
-@lru_cache(maxsize=20_000)
 def _subject(claim: str) -> tuple[str, ...] | None:
     """The names of the known subject that the claim begins with."""
     head = re.sub(r"^(?:因为|由于)", "", claim.strip())
@@ -78,13 +83,13 @@ def _subject(claim: str) -> tuple[str, ...] | None:
 
 def about_subject(text: str, claim: str) -> bool:
     """False where the claim begins with a known subject that *text* never names."""
-    names = _subject(claim)
+    names = _once(_subject, claim)
     return names is None or any(name in text for name in names)
 
 
 def usable_text(text: str | None, topic: str, claim: str) -> bool:
     """Whether a passage is about the claim: its property where it states one, else enough of the topic; and is a text at all."""
-    slot, body = slot_of(claim), _folded_text(text)
+    slot, body = slot_of(claim), _once(folded, text)
     share, hits = topic_share(text, topic)
     fits = slot.strength(text or "") > 0 if slot else share >= 0.3 and hits > 0
     return fits and about_subject(body, claim) and sum(body.count(m) for m in NOT_A_PAGE) < 3

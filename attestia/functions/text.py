@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .claims import plain as plain_text
+
 # Latin words and Chinese words that are no search terms.
 STOP = ("the", "is", "of", "in", "on", "a", "an", "and", "to", "for", "with", "by", "from", "are", "be")
 CJK_STOP = ("的", "是", "在", "于", "为", "和", "与", "及", "了")
@@ -68,9 +70,7 @@ def collapse(text: Column | str) -> Column:
 @F.arrow_udf(StringType())
 def plain(text: pa.Array) -> pa.Array:
     """NFKC text without Markdown presentation, as claims are normalized."""
-    from .claims import plain as one
-
-    return pa.array([None if t is None else one(t) for t in text.to_pylist()], pa.string())
+    return pa.array([None if t is None else plain_text(t) for t in text.to_pylist()], pa.string())
 
 
 def markdown_escaped(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from attestia.functions import atoms
-from attestia.functions.claims import cited, conditions, grounded, kind_of, named, passage, units_before
+from attestia.functions.claims import cited, grounded, kind_of, passage, units_before
 
 CLAIMS = (
     "claim_id string, task_id string, number int, found int, source_text string, char_start int, char_end int, claim_type string, normalized_claim string, "
@@ -64,7 +64,7 @@ def extracted(answers: DataFrame, key: str, text: str, limit: int | str = 15) ->
                     name = "c_" + hashlib.sha256(f"{k}\0{n}\0{c.source}".encode("utf-8", "surrogatepass")).hexdigest()[:32]
                     lost = atoms.unresolved(c.source, c.normalized)
                     rows.append((
-                        name, k, n, len(found), c.source, start, start + units_before(c.source, len(c.source)), kind, c.normalized, named(c.normalized), conditions(c.normalized),
+                        name, k, n, len(found), c.source, start, start + units_before(c.source, len(c.source)), kind, c.normalized, atoms.names_of(c.normalized), atoms.limits_of(c.normalized),
                         "not_applicable" if kind == "opinion" else None, "unchecked" if lost else "pending", "unresolved_reference" if lost else None,
                     ))
             names = [f.split(" ")[0] for f in CLAIMS.split(", ")]
