@@ -1,9 +1,9 @@
 """Keyword, vector and hybrid search over tables of queries and passages.
 
-Scale: postings are one row a (passage, term); only terms that a query has are kept, by a semi-join
-on the term; document frequencies and lengths are aggregated with map-side combine. Postings meet the query
-terms on (term, salt), so a frequent term of many queries is spread over SALTS tasks. Ranking is per query
-with a window that Spark prunes to the wanted ranks before the shuffle. Null texts have no terms.
+Scale: postings are one row a (passage, term); only terms that a query has are kept; document frequencies are
+aggregated with map-side combine. Postings meet the queries in buckets of counted size, a frequent term cut by passage,
+and a term of many queries by query; no (query, passage) pair leaves a bucket that is not among its best there.
+Ranking is per query with a window that Spark prunes to the wanted ranks before the shuffle. Null texts have no terms.
 """
 from __future__ import annotations
 
@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from attestia.functions.text import terms
+from attestia.session import written
 
 # Fixed values of the ranking.
 K1, B, RRF, PER_CHANNEL, PER_DOCUMENT, MOST_TERMS = 1.2, 0.75, 60, 40, 2, 64
 BLOCK = 5_000
-SALTS = 8
+#: Postings and tails of a task of the keyword search.
+BUCKET_POSTINGS, BUCKET_TAILS = 100_000, 5_000
+#: Rows that may be broadcast; beyond that the joins shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def postings(passages: DataFrame, key: str, text: str) -> DataFrame:
@@ -27,20 +31,117 @@ def postings(passages: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def bm25(queries: DataFrame, query_key: str, query_text: str, passages: DataFrame, key: str, text: str, top: int, normalize: bool = False) -> DataFrame:
-    """(query_key, key, score, rank): the *top* passages of each query; ties by key."""
-    sized = passages.select(key, terms(F.col(text), normalize).alias("t")).withColumn("length", F.size("t"))
-    asked = queries.select(query_key, F.slice(terms(F.col(query_text), normalize), 1, MOST_TERMS).alias("t")).select(query_key, F.explode("t").alias("term"))
-    # Two totals of the collection: one row, so the join sends one row.
-    totals = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    post = sized.select(key, "length", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weights = asked.join(df, "term").join(F.broadcast(totals)).select(query_key, "term", "mean", idf.alias("idf"))
-    part = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    weights = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = post.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    scores = spread.join(weights, ["term", "salt"]).groupBy(query_key, key).agg(F.round(F.sum(part), 6).alias("score"))
-    return ranked(scores, query_key, key, top)
+    """(query_key, key, score, rank): the *top* passages of each query; ties by key.
+
+    A query's terms in order of rarity give its tails: the terms from each one on. A passage is scored in the group of a
+    term by the tails that begin with it, and only a tail's best *top* leave the group. The tail of a passage's rarest
+    term of the query is its whole score, any other is less, so the largest counts; equal tails are scored once.
+    """
+    asked = queries.select(F.col(query_key).alias("_query"), F.slice(terms(F.col(query_text), normalize), 1, MOST_TERMS).alias("t")).select("_query", F.explode("t").alias("term"))
+    asked = written(asked.groupBy("_query", "term").agg(F.count("*").alias("times")), "asked")
+    known = sized(asked.select("term", F.lit(True).alias("known")).distinct())
+    # Postings of the queries' terms, and a row without term for each passage: the texts are cut into terms once.
+    cut = passages.select(F.col(key).alias("_key"), terms(F.col(text), normalize).alias("t")).select("_key", F.size("t").alias("length"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "t")).alias("term"))
+    post = written(cut.join(known, "term", "left").filter("term IS NULL OR known").drop("known"), "postings")
+    totals = post.filter("term IS NULL").agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    post = post.filter("term IS NOT NULL")
+    df = written(post.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+    buckets = max(1, -(-(df.agg(F.sum("df").alias("n")).first()["n"] or 0) // BUCKET_POSTINGS))
+    mean = float(totals["mean"] or 1.0)
+    idf = F.greatest(F.log((F.lit(totals["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    by = [F.col("df"), F.xxhash64("term").alias("id")]
+
+    # Each query's terms, rarest first, and its tails.
+    weighed = asked.join(df, "term").groupBy("_query").agg(F.array_sort(F.collect_list(F.struct(*by, (idf * F.col("times")).alias("idf")))).alias("w"))
+    weighed = written(weighed.withColumn("whole", F.xxhash64("w")), "weighed")
+    tails = weighed.select("whole", "w").dropDuplicates(["whole"]).select("whole", F.posexplode("w").alias("at", "first"), "w")
+    tails = tails.select("whole", "first.id", "first.df", F.slice("w", F.col("at") + 1, F.size("w")).alias("w")).withColumn("tail", F.xxhash64("w"))
+    chains, once = tails.select("whole", "tail"), tails.select("tail", "id", "df", F.transform("w", lambda x: x["id"]).alias("ids"), F.transform("w", lambda x: x["idf"]).alias("idfs")).dropDuplicates(["tail"])
+
+    # Large groups are cut by passage and by tail.
+    shares = written(once.groupBy("id").agg(F.max("df").alias("df"), F.count("*").alias("tails")).select("id", F.ceil(F.col("df") / BUCKET_POSTINGS).cast("int").alias("salts"), F.ceil(F.col("tails") / BUCKET_TAILS).cast("int").alias("parts")), "shares")
+    bucket = lambda salt, part: F.pmod(F.xxhash64("id", salt, part), F.lit(buckets)).cast("int")
+    spread = once.join(sized(shares), "id").withColumn("part", F.pmod(F.col("tail"), F.col("parts")).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    spread = spread.select(bucket("salt", "part").alias("bucket"), "id", "salt", "part", "tail", "ids", "idfs")
+
+    # A passage's factors by term, in the same order; rows of one key add up.
+    factor = (K1 + 1) / (1 + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
+    own = post.join(sized(df), "term").select("_key", *by, factor.alias("factor")).repartition("_key").groupBy("_key", "df", "id").agg(F.sum("factor").alias("factor"))
+    own = own.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("df", "id", "factor"))).alias("w"))
+    own = own.select("_key", F.transform("w", lambda x: x["id"]).alias("ids"), F.transform("w", lambda x: x["factor"]).alias("factors")).select("_key", F.posexplode("ids").alias("at", "id"), "ids", "factors")
+    rest = lambda c: F.slice(c, F.col("at") + 1, F.size("ids")).alias(c)
+    own = own.select("_key", "id", rest("ids"), rest("factors")).join(sized(shares), "id").withColumn("salt", F.pmod(F.xxhash64("_key"), F.col("salts")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = own.select(bucket("salt", "part").alias("bucket"), "id", "salt", "part", "_key", "ids", "factors")
+
+    found = own.groupBy("bucket").cogroup(spread.groupBy("bucket")).applyInArrow(_tail_scorer(top), f"tail bigint, _key {dict(passages.dtypes)[key]}, score double")
+    best = written(ranked(found, "tail", "_key", top), "tails")
+    # What is below the last of a query's whole tail can't be among its best.
+    least = best.filter(F.col("rank") == top).select(F.col("tail").alias("whole"), F.col("score").alias("least"))
+    merged = chains.join(least, "whole", "left").join(best.drop("rank"), "tail").filter("least IS NULL OR score >= least")
+    merged = merged.select("whole", "_key", "score").repartition("whole").groupBy("whole", "_key").agg(F.max("score").alias("score"))
+    return weighed.select("_query", "whole").join(ranked(merged, "whole", "_key", top), "whole").select(F.col("_query").alias(query_key), F.col("_key").alias(key), "score", "rank")
+
+
+def _tail_scorer(top: int):
+    """A function for cogrouped applyInArrow over a bucket: the best *top* passages of every tail by its terms."""
+
+    def run(own: pa.Table, tails: pa.Table) -> pa.Table:
+        import pyarrow.compute as pc
+
+        own, tails = own.combine_chunks(), tails.combine_chunks()
+        kind = own.schema.field("_key").type
+        out_tail, out_at, out_score = [], [], []
+        if own.num_rows and tails.num_rows:
+            own = own.take(pc.sort_indices(own, sort_keys=[("id", "ascending"), ("salt", "ascending"), ("part", "ascending"), ("_key", "ascending")], null_placement="at_start"))
+            tails = tails.take(pc.sort_indices(tails, sort_keys=[("id", "ascending"), ("salt", "ascending"), ("part", "ascending")]))
+
+            def flat(table: pa.Table, *names: str) -> tuple:
+                lists = [table.column(c).combine_chunks() for c in names]
+                lists = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in lists]
+                ends = np.r_[0, np.cumsum(pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False))]
+                return ends, *(c.flatten().to_numpy(zero_copy_only=False) for c in lists)
+
+            def groups(table: pa.Table) -> tuple[list, np.ndarray]:
+                cols = [table.column(c).to_numpy() for c in ("id", "salt", "part")]
+                new = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in cols], axis=0)])
+                return list(zip(*(c[new].tolist() for c in cols))), np.r_[new, table.num_rows]
+
+            ends, ids, factors = flat(own, "ids", "factors")
+            tail_ends, tail_ids, idfs = flat(tails, "ids", "idfs")
+            tail_names = tails.column("tail").to_numpy()
+            names, at = groups(own)
+            place = {g: (at[n], at[n + 1]) for n, g in enumerate(names)}
+            names, at = groups(tails)
+            for n, g in enumerate(names):
+                if g not in place:
+                    continue
+                a, b = place[g]
+                many = np.diff(ends[a : b + 1])
+                some, some_factors, row = ids[ends[a] : ends[b]], factors[ends[a] : ends[b]], np.repeat(np.arange(b - a), many)
+                order = np.argsort(some, kind="stable")
+                some, some_factors, row = some[order], some_factors[order], row[order]
+                for t in range(at[n], at[n + 1]):
+                    score = np.zeros(b - a)
+                    mine = tail_ids[tail_ends[t] : tail_ends[t + 1]]
+                    lo, hi = np.searchsorted(some, mine), np.searchsorted(some, mine, side="right")
+                    for x, y, idf in zip(lo.tolist(), hi.tolist(), idfs[tail_ends[t] : tail_ends[t + 1]].tolist()):
+                        score[row[x:y]] += some_factors[x:y] * idf  # a passage has a term once
+                    score = np.floor(score * 1e6 + 0.5) / 1e6
+                    kept = np.arange(b - a) if b - a <= top else np.flatnonzero(score >= np.partition(score, b - a - top)[b - a - top])
+                    kept = kept[np.argsort(-score[kept], kind="stable")[:top]]  # rows are in order of their keys
+                    out_tail.append(np.full(len(kept), tail_names[t]))
+                    out_at.append(kept + a)
+                    out_score.append(score[kept])
+        if not out_at:
+            return pa.table([pa.array([], pa.int64()), pa.array([], kind), pa.array([], pa.float64())], names=["tail", "_key", "score"])
+        return pa.table([pa.array(np.concatenate(out_tail)), own.column("_key").take(pa.array(np.concatenate(out_at))), pa.array(np.concatenate(out_score))], names=["tail", "_key", "score"])
+
+    return run
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A broadcast hint where the table has few rows, else the table as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def ranked(scores: DataFrame, query_key: str, key: str, top: int, ties: str = "asc") -> DataFrame:

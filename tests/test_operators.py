@@ -59,6 +59,40 @@ def test_latest_upsert_delete(spark):
     assert [r.k for r in versions.without_known(new, df, "k").collect()] == ["c"]
 
 
+def brute_bm25(queries, passages, top):
+    """(query, passage, score, rank) from all pairs; words are cut at spaces."""
+    import collections
+    import math
+
+    n, mean = len(passages), sum(len(set(t.split())) for _, t in passages) / len(passages)
+    df = collections.Counter(w for _, t in passages for w in set(t.split()))
+    out = collections.defaultdict(lambda: collections.defaultdict(float))
+    for q, text in queries:
+        for w in set(text.split()):
+            for k, t in passages:
+                if w in (words := set(t.split())):
+                    out[q][k] += max(math.log((n - df[w] + 0.5) / (df[w] + 0.5)), 1e-6) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(words) / mean))
+    ranked = {q: sorted(((-round(x, 6), k) for k, x in found.items()))[:top] for q, found in out.items()}
+    return [(q, k, -x, r + 1) for q, best in sorted(ranked.items()) for r, (x, k) in enumerate(best)]
+
+
+@pytest.mark.parametrize("sizes", [(100_000, 5_000), (7, 3)])
+def test_bm25_equals_brute_force_without_all_pairs(spark, monkeypatch, sizes):
+    rng, words = random.Random(5), [f"w{i}" for i in range(40)]
+    passages = [(f"p{i:03}", " ".join(rng.choices(words, weights=range(40, 0, -1), k=rng.randrange(3, 20)) + ["harbour"])) for i in range(300)]
+    passages += [("p000", "w39 harbour w1"), ("p999", "alone")]  # a key with two texts
+    queries = [(f"q{i:03}", " ".join(["harbour"] + rng.sample(words, rng.randrange(1, 5)))) for i in range(120)] + [("q000", "w39 w1"), ("q998", "unknown"), ("q999", "harbour")]
+    for name, value in zip(("BUCKET_POSTINGS", "BUCKET_TAILS"), sizes):
+        monkeypatch.setattr(retrieval, name, value, raising=False)
+    seen, ranked = [], retrieval.ranked
+    monkeypatch.setattr(retrieval, "ranked", lambda scores, *a: (seen.append(scores.count()), ranked(scores, *a))[1])
+    got = retrieval.bm25(spark.createDataFrame(queries, "qid string, q string"), "qid", "q", spark.createDataFrame(passages, "id string, t string"), "id", "t", 3)
+    got = [(r.qid, r.id, r.score, r["rank"]) for r in got.select("qid", "id", "score", "rank").orderBy("qid", "rank").collect()]
+    assert got == brute_bm25(queries, passages, 3)
+    if sizes[0] > 1000:
+        assert max(seen) <= 120 * 7 * 3  # best passages of a tail, not the 36,000 pairs
+
+
 def test_bm25_prefers_rare_terms_and_breaks_ties(spark):
     p = spark.createDataFrame([(1, "rare apple"), (2, "apple pear"), (3, "apple pear"), (4, None), (5, "")], "id int, t string")
     q = spark.createDataFrame([("q", "rare apple"), ("n", None), ("p", "pear")], "qid string, q string")
