@@ -11,14 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from attestia.functions.text import terms
 from attestia.session import written
 
 # Fixed values of the ranking.
 K1, B, RRF, PER_CHANNEL, PER_DOCUMENT, MOST_TERMS = 1.2, 0.75, 60, 40, 2, 64
-BLOCK = 5_000
+#: Query vectors and passage vectors of a task.
+BLOCK_ASKED, BLOCK_OWN = 32_768, 65_536
 #: Postings and tails of a task of the keyword search.
 BUCKET_POSTINGS, BUCKET_TAILS = 100_000, 5_000
 #: Rows that may be broadcast; beyond that the joins shuffle.
@@ -157,40 +157,74 @@ def dot(a: Column, b: Column) -> Column:
 def vector_topk(queries: DataFrame, query_key: str, query_vector: str, passages: DataFrame, key: str, vector: str, top: int, least: float, ties: str = "asc") -> DataFrame:
     """(query_key, key, score, rank) by inner product of unit vectors, scores of *least* or more.
 
-    A stated set of queries against all passages, in blocks of BLOCK queries: a block is one matrix shipped to the
-    workers, bounded whatever the number of queries, and every batch of passages keeps only what can be among a
-    query's best before anything is shuffled. For every vector against every other use a graph index instead.
-    Null vectors and those of another length than a block's first match nothing.
+    Every query meets every passage of its vector's length, in a grid of query blocks and passage blocks: a vector is sent
+    once to each block of the other side, and a block keeps a query's best only. The work is queries times passages; for
+    every vector against every other use a graph index instead. Null vectors match nothing.
     """
-    asked = queries.select(F.col(query_key), F.col(query_vector).alias("_q")).filter("_q IS NOT NULL")
-    blocks, out = max(1, -(-asked.count() // BLOCK)), None
-    kinds = {**dict(queries.dtypes), **dict(passages.dtypes)}
-    schema = f"{query_key} {kinds[query_key]}, {key} {kinds[key]}, score double"
-    for n in range(blocks):
-        block = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == n)
-        some = passages.select(key, vector).mapInArrow(_scorer([(r[0], r[1]) for r in block.toLocalIterator()], top, least, [query_key, key, "score"], to_arrow_type(asked.schema[query_key].dataType)), schema)
-        out = some if out is None else out.unionByName(some)
-    return ranked(out, query_key, key, top, ties)
-
-
-def _scorer(asked: list[tuple], top: int, least: float, names: list[str], keys: pa.DataType):
-    """A function for mapInArrow: (key, vector) -> the pairs with a query that can be among its best *top*."""
-
-    def run(parts):
-        size = len(asked[0][1]) if asked else 0
-        rows = [(k, v) for k, v in asked if len(v) == size]
-        Q = np.array([v for _, v in rows], dtype=np.float64).reshape(len(rows), size)
-        for part in parts:
-            kept = [(i, v) for i, v in enumerate(part.column(1).to_pylist()) if v is not None and len(v) == size]
-            for a in range(0, len(kept) if rows else 0, 1000):  # a small matrix at a time
-                some = kept[a : a + 1000]
-                scores = np.round(Q @ np.array([v for _, v in some], dtype=np.float64).T, 6)
-                least_kept = np.full(len(rows), least)
-                if len(some) > top:
-                    least_kept = np.maximum(least, -np.partition(-scores, top - 1, axis=1)[:, top - 1])
-                q, x = np.nonzero(scores >= least_kept[:, None])
-                at = np.array([i for i, _ in some])[x]
-                yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in q], keys), part.column(0).take(pa.array(at)), pa.array(scores[q, x])], names=names)
+    asked = queries.select(F.col(query_key).alias("_query"), F.col(query_vector).alias("_v")).filter("_v IS NOT NULL")
+    own = passages.select(F.col(key).alias("_key"), F.col(vector).alias("_v")).filter("_v IS NOT NULL")
+    across, down = (max(1, -(-df.count() // most)) for df, most in ((asked, BLOCK_ASKED), (own, BLOCK_OWN)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("_a", part("_query", across)).withColumn("_b", every(down))
+    right = own.withColumn("_b", part("_key", down)).withColumn("_a", every(across))
+    schema = f"_query {dict(queries.dtypes)[query_key]}, _key {dict(passages.dtypes)[key]}, score double"
+    found = left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInArrow(_block_scorer(top, least, ties), schema)
+    return ranked(found, "_query", "_key", top, ties).select(F.col("_query").alias(query_key), F.col("_key").alias(key), "score", "rank")
+
+
+def _block_scorer(top: int, least: float, ties: str):
+    """A function for cogrouped applyInArrow: a block's queries and passages -> each query's best *top* pairs."""
+
+    def run(asked: pa.Table, own: pa.Table) -> pa.Table:
+        import pyarrow.compute as pc
+
+        asked, desc = asked.combine_chunks(), ties == "desc"
+        # In the order that ties take.
+        own = own.take(pc.sort_indices(own, sort_keys=[("_key", "descending" if desc else "ascending")], null_placement="at_end" if desc else "at_start")).combine_chunks()
+        out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+
+        def matrices(table: pa.Table):
+            lengths = pc.list_value_length(table.column("_v")).to_numpy()
+            for size in np.unique(lengths[lengths > 0]).tolist():
+                some = np.flatnonzero(lengths == size)
+                yield size, some, np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column("_v").take(pa.array(some)).chunks]).astype(np.float64).reshape(-1, size)
+
+        right = {size: (some, V) for size, some, V in matrices(own)}
+        for size, who, Q in matrices(asked):
+            if size not in right:
+                continue
+            what, V = right[size]
+            with np.errstate(all="ignore"):
+                norm_q, norm_v = np.linalg.norm(Q, axis=1), np.fmax.reduce(np.linalg.norm(V, axis=1))
+                reach = np.fmax.reduce(norm_q) * norm_v
+                # Single precision finds what can be among the best, double precision scores it.
+                single = bool(reach < 1e30)
+                slack = 2e-6 + (norm_q * norm_v * (4e-7 * (size + 8)) if single else np.zeros(len(Q)))
+                q_fast, v_fast = (Q.astype(np.float32), V.astype(np.float32)) if single else (Q, V)
+            for a in range(0, len(Q), 256):
+                n = min(256, len(Q) - a)
+                last = np.full(n, least, dtype=np.float64)
+                held, fresh, waiting = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)), [], 0
+                for b in range(0, len(V), 4096):
+                    with np.errstate(all="ignore"):
+                        scores = q_fast[a : a + n] @ v_fast[b : b + 4096].T
+                        q, x = np.divmod(np.flatnonzero(scores >= (last - slack[a : a + n]).astype(scores.dtype)[:, None]), scores.shape[1])
+                        exact = np.round(np.einsum("ij,ij->i", Q[a + q], V[b + x]), 6)
+                        fit = exact >= last[q]
+                    fresh.append((q[fit], b + x[fit], exact[fit]))
+                    waiting += len(fresh[-1][0])
+                    if waiting >= 4096 or b + 4096 >= len(V):
+                        q, x, exact = (np.concatenate(c) for c in zip(held, *fresh))
+                        order = np.lexsort((x, -exact, q))
+                        q, x, exact = q[order], x[order], exact[order]
+                        nth = np.arange(len(q)) - np.searchsorted(q, q)
+                        ends = nth == top - 1
+                        last[q[ends]] = exact[ends]
+                        held, fresh, waiting = tuple(c[nth < top] for c in (q, x, exact)), [], 0
+                out.append((who[a + held[0]], what[held[1]], held[2]))
+        q, x, exact = (np.concatenate(c) for c in zip(*out))
+        return pa.table([asked.column("_query").take(pa.array(q)), own.column("_key").take(pa.array(x)), pa.array(exact)], names=["_query", "_key", "score"])
 
     return run
 
@@ -201,6 +235,7 @@ def fused(channels: dict[str, DataFrame], query_key: str, key: str, limit: int,
     for n, (name, df) in enumerate(channels.items()):
         some = df.filter(F.col("rank") <= PER_CHANNEL).select(query_key, key, "rank", F.lit(n).alias("o"), F.lit(name).alias("channel"), *([document] if document else []))
         rows = some if rows is None else rows.unionByName(some)
+    rows = rows.repartition(query_key)  # all that follows is within a query
     by = [query_key, key, *([document] if document else [])]
     out = rows.groupBy(*by).agg(F.round(F.sum(F.lit(1.0) / (F.col("rank") + RRF)), 6).alias("score"), F.transform(F.array_sort(F.collect_list(F.struct("o", "channel"))), lambda s: s["channel"]).alias("matched_by"))
     if document:

@@ -91,7 +91,7 @@ def _channels(spark, d):
 def hybrid_search(spark, d):
     """Keyword and vector channels fused by reciprocal rank, two passages a document, five a query."""
     c, words, near = _channels(spark, d)
-    owner = c.select("chunk_id", "document_id")
+    owner = R.sized(c.select("chunk_id", "document_id"))
     return R.fused({"keyword": words.join(owner, "chunk_id"), "semantic": near.join(owner, "chunk_id")}, "query_id", "chunk_id", 5, "document_id")
 
 

@@ -93,6 +93,31 @@ def test_bm25_equals_brute_force_without_all_pairs(spark, monkeypatch, sizes):
         assert max(seen) <= 120 * 7 * 3  # best passages of a tail, not the 36,000 pairs
 
 
+@pytest.mark.parametrize("ties, blocks", [("asc", None), ("desc", (7, 90))])
+def test_vector_search_equals_brute_force_and_sends_only_the_best(spark, monkeypatch, ties, blocks):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vectors = np.round(rng.normal(size=(600, 8)), 1).tolist()
+    vectors[5:9], vectors[20] = [vectors[4]] * 4, [float("nan")] * 8
+    passages = [(f"p{i:03}", v) for i, v in enumerate(vectors)] + [("short", [1.0]), ("none", None), ("p900", [1e200] + [0.0] * 7)]
+    queries = [(f"q{i:02}", vectors[i]) for i in range(20)] + [("qn", None)]
+    for name, value in zip(("BLOCK_ASKED", "BLOCK_OWN"), blocks or ()):
+        monkeypatch.setattr(retrieval, name, value, raising=False)
+    seen, ranked = [], retrieval.ranked
+    monkeypatch.setattr(retrieval, "ranked", lambda scores, *a: (seen.append(scores.count()), ranked(scores, *a))[1])
+    schema = "string, v array<double>"
+    got = retrieval.vector_topk(spark.createDataFrame(queries, f"qid {schema}"), "qid", "v", spark.createDataFrame(passages, f"id {schema}").repartition(8), "id", "v", 5, 0.5, ties)
+    got = [(r.qid, r.id, r.score, r["rank"]) for r in got.orderBy("qid", "rank").collect()]
+    wanted = []
+    for q, v in queries[:-1]:
+        scored = [(k, round(float(np.dot(v, w)), 6)) for k, w in sorted(passages, reverse=ties == "desc") if w is not None and len(w) == 8]
+        best = sorted((x for x in scored if x[1] >= 0.5), key=lambda x: -x[1])[:5]
+        wanted += [(q, k, x, n + 1) for n, (k, x) in enumerate(best)]
+    assert got == wanted
+    assert blocks or seen[-1] <= 20 * 5
+
+
 def test_bm25_prefers_rare_terms_and_breaks_ties(spark):
     p = spark.createDataFrame([(1, "rare apple"), (2, "apple pear"), (3, "apple pear"), (4, None), (5, "")], "id int, t string")
     q = spark.createDataFrame([("q", "rare apple"), ("n", None), ("p", "pear")], "qid string, q string")
