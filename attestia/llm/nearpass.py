@@ -249,6 +249,7 @@ def _meet(share: Fraction):
         name, size = part.column("class").to_numpy(), part.column("size").to_numpy().astype(np.int64)
         sketch = [part.column(c).to_numpy().view(np.uint64) for c in SKETCH]
         need = -((-share.numerator * size) // share.denominator)
+        slack = size - 2 * need
         heads = np.array(pa.concat_arrays(part.column("counts").chunks).flatten()).reshape(len(size), -1)
         answers, counts = heads[:, 0] == 1, heads[:, 1:]
         raw = np.frombuffer(b"".join(part.column("signatures").to_pylist()), dtype=np.uint8).reshape(-1, WIDTH)
@@ -283,10 +284,15 @@ def _meet(share: Fraction):
                 # One list longer than a chunk is read in pieces.
                 for c in range(0, int(upto[b] - upto[a]), CHUNK):
                     place = np.arange(c, min(c + CHUNK, int(upto[b] - upto[a])))
-                    n = np.searchsorted(upto[a : b + 1] - upto[a], place, side="right") - 1 if b > a + 1 else np.zeros(len(place), dtype=np.int64)
+                    n = np.repeat(np.arange(b - a), many[a:b]) if b > a + 1 else np.zeros(len(place), dtype=np.int64)
                     x, y = who[a + n], sets[lo[a + n] + place - (upto[a + n] - upto[a])]
-                    flips = sum(np.bitwise_count(s[x] ^ s[y]).astype(np.int64) for s in sketch)
-                    fit = (flips <= size[x] + size[y] - 2 * need[x]) & ((size[x] > size[y]) | (name[x] < name[y]))
+                    # Half of the sketch drops nearly all; the sum of two words' flips fits a byte.
+                    bound = slack[x] + size[y]
+                    flips = np.bitwise_count(sketch[0][x] ^ sketch[0][y]) + np.bitwise_count(sketch[1][x] ^ sketch[1][y])
+                    close = np.flatnonzero(flips <= bound)
+                    x, y, bound, flips = x[close], y[close], bound[close], flips[close].astype(np.int64)
+                    flips += sum(np.bitwise_count(s[x] ^ s[y]).astype(np.int64) for s in sketch[2:])
+                    fit = (flips <= bound) & ((size[x] > size[y]) | (name[x] < name[y]))
                     out.append(np.unique((x[fit].astype(np.uint64) << np.uint64(32)) | y[fit].astype(np.uint64)))
                 a = b
         pairs = np.unique(np.concatenate(out))
